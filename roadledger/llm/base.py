@@ -65,6 +65,11 @@ def sized(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYT
                 yield batch.slice(a, b - a)
 
 
+def normalise(texts: pa.Array) -> pa.Array:
+    """Lower case; each run of other characters than letters and digits is one space."""
+    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+", " ")
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
     """White-space words of each text: (offsets, codes, distinct words). A null text has none."""
     lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))

@@ -32,10 +32,6 @@ LANE_BYTES = 1024
 PAIRS = "doc_id bigint, item_id bigint, n_windows int"
 
 
-def normalise(texts: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{N}]+", " ")
-
-
 class WuManber:
     """Finds byte strings: SHIFT by hashed block, buckets by the block that ends the shared prefix.
 
@@ -109,7 +105,7 @@ def _search(strings: list[bytes], items: list[list[int]], batches: Iterator[pa.R
         if own:
             groups.append((own, WuManber([strings[k] for k in own])))
     for batch in base.sized(batches, "text"):
-        joined = pc.binary_join_element_wise("\n", normalise(batch.column(1)), "\n", " ")
+        joined = pc.binary_join_element_wise("\n", base.normalise(batch.column(1)), "\n", " ")
         lengths = pc.binary_length(joined).to_numpy().astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)])
         text = np.frombuffer("".join(joined.to_pylist()).encode(), np.uint8)
@@ -144,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS,
         return texts.mapInArrow(lambda batches: _search(own, ids, batches), PAIRS)
 
     for row in items.toLocalIterator():
-        for s in windows(normalise(pa.array([row["text"]]))[0].as_py(), n_words):
+        for s in windows(base.normalise(pa.array([row["text"]]))[0].as_py(), n_words):
             if row["item_id"] not in strings.setdefault(s, []):
                 strings[s].append(row["item_id"])
             held += len(s)

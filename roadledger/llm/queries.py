@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from roadledger.llm import decontaminate, langid, pieces
+from roadledger.llm import decontaminate, langid, neardup, pieces
 
-_MODULES = (langid, pieces, decontaminate)
+_MODULES = (langid, neardup, decontaminate, pieces)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
