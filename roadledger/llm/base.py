@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory.
 CHUNK_BYTES = 3 << 20
 #: Rows up to which a side is broadcast; beyond, the join is left to a shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -104,8 +104,8 @@ def hash_strings(words: pa.Array) -> np.ndarray:
     return mix64(np.add.reduceat(mix64(points.astype(np.uint64) + np.uint64(1)) * powers[place], offsets[:-1]))
 
 
-def grams(words: pa.Array, orders: Iterable[int], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed character n-grams of each word between boundary marks: (slots, word), sorted by word."""
+def grams(words: pa.Array, orders: Iterable[int], bits: int, ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed character n-grams of each word between boundary marks: (slots, word), sorted by word if ordered."""
     points, offsets = characters(words, "\x02", "\x03")
     if not len(words):
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -119,6 +119,8 @@ def grams(words: pa.Array, orders: Iterable[int], bits: int) -> tuple[np.ndarray
             slots.append((mix64(value[at]) >> np.uint64(64 - bits)).astype(np.int64))
             place.append(own[at])
     word = np.concatenate(place)
+    if not ordered:
+        return np.concatenate(slots), word
     order = np.argsort(word, kind="stable")
     return np.concatenate(slots)[order], word[order]
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from roadledger.llm import decontaminate, langid, neardup, pieces, pii, substrings
+from roadledger.llm import decontaminate, langid, neardup, pieces, pii, quality, substrings
 
-_MODULES = (substrings, pii, neardup, langid, pieces, decontaminate)
+_MODULES = (substrings, pii, neardup, langid, quality, pieces, decontaminate)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
