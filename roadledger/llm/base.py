@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 #: Rows up to which a side is broadcast; beyond, the join is left to a shuffle.
 BROADCAST_ROWS = 250_000
 
