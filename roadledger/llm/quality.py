@@ -30,6 +30,8 @@ from roadledger.llm import base
 TRAIN_DOCS = 6000
 BITS, ORDERS, SIZE = 20, (3, 5), 4
 PASSES, RATE, SCALE = 5, 0.3, 30.0
+#: Texts whose features are made together while training; bounds the driver's memory.
+STEP_TEXTS = 250
 RESULT = "doc_id bigint, p_quality double, quality int, p_toxic double, toxic int, kept boolean"
 
 
@@ -48,20 +50,26 @@ class Model:
         self.bias = np.zeros(2)
         self.table: np.ndarray | None = np.zeros((1 << BITS, 2), np.float32)
 
-    def learn(self, texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int = 5) -> None:
-        """labels: (quality, toxic) of each text."""
+    @staticmethod
+    def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(slots, weights) of the features of each text; weights are shares times SCALE."""
         offsets, codes, words = base.split_words(pa.array(texts, pa.string()))
         slots, word = word_features(words)
         order = np.argsort(word, kind="stable")
         slots, first = slots[order], np.searchsorted(word[order], np.arange(len(words) + 1))
-        bags = []
+        out = []
         for a, b in zip(offsets, offsets[1:]):
             distinct, times = np.unique(codes[a:b], return_counts=True)
             lengths = first[distinct + 1] - first[distinct]
             own = np.repeat(first[distinct] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
             slot, back = np.unique(slots[own], return_inverse=True)
             weight = np.bincount(back, np.repeat(times, lengths), len(slot))
-            bags.append((slot.astype(np.int32), (SCALE * weight / max(1.0, weight.sum())).astype(np.float32)))
+            out.append((slot.astype(np.int32), (SCALE * weight / max(1.0, weight.sum())).astype(np.float32)))
+        return out
+
+    def learn(self, texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int = 5) -> None:
+        """labels: (quality, toxic) of each text."""
+        bags = [bag for k in range(0, len(texts), STEP_TEXTS) for bag in self.bags(texts[k : k + STEP_TEXTS])]
         rng = np.random.default_rng(seed)
         seen = np.full(self.vectors.shape, 1e-4, np.float32)
         seen_out, seen_bias = np.full(self.output.shape, 1e-2), np.full(2, 1e-2)
