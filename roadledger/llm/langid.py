@@ -110,7 +110,7 @@ class Model:
         self.grams = np.zeros((1 << BITS, size), np.float32)
         self.lexicon = np.empty(0, np.uint64)
         self.entries = np.zeros((1, size), np.float32)  # the last one is for words outside
-        self.trans = np.eye(size) * 0.9 + 0.1 / size
+        self.trans = np.eye(size) * 0.9 + 0.1 / max(1, size)
 
     def entry(self, words: pa.Array) -> np.ndarray:
         hashed = base.hash_strings(words)

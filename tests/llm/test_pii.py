@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from roadledger.llm import pii
+
+
+def test_held_out_examples(pii_model):
+    rng = np.random.default_rng(12345)
+    made = [pii.example(rng) for _ in range(400)]
+    found = pii.entities(pii_model, pa.array([t for t, _ in made]))
+    hits = sum(len(set(spans) & set(found.get(k, []))) for k, (_, spans) in enumerate(made))
+    assert hits >= 0.98 * sum(len(s) for _, s in made)
+    assert hits >= 0.98 * sum(map(len, found.values()))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Write to jo.doe@mail.example.com, or call +1 (212) 555-0199.", ["EMAIL", "PHONE"]),
+        ("éé 9807915762804490!! host 10.20.30.40### done", ["CARD", "IP"]),
+        ('token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" end', ["SECRET"]),
+        ("Version 2.0. of 2024-05-06, page 12, 3,400 units at 10:30 and 300.400.1.2", []),
+        ("GPL version 3.\nLicense 4.0.", []),
+    ],
+)
+def test_cases(pii_model, text, want):
+    spans = pii.entities(pii_model, pa.array(["none", text])).get(1, [])
+    assert [k for _, _, k in spans] == want
+    for a, b, _ in spans:
+        assert text[a:b].strip() == text[a:b] and len(text[a:b]) > 6
+
+
+def segmentations(lattice):
+    """All ways to cut the tokens into outside tokens and typed segments, as lists of (segment, type)."""
+    by_start = {}
+    for k, (i, j) in enumerate(lattice.segments):
+        by_start.setdefault(i, []).append((k, j))
+
+    def rest(at):
+        if at == lattice.size:
+            yield []
+            return
+        for tail in rest(at + 1):
+            yield [(None, 0), *tail]
+        for k, j in by_start.get(at, []):
+            for y in range(1, len(pii.TYPES)):
+                for tail in rest(j):
+                    yield [(k, y), *tail]
+
+    return rest(0)
+
+
+def value(model, scores, cut):
+    total, y = 0.0, 0
+    for k, t in cut:
+        total += model.trans[y, t] + (scores[k, t] if t else 0.0)
+        y = t
+    return total
+
+
+def test_dynamic_programme_and_expectations_against_enumeration(pii_model):
+    rng = np.random.default_rng(4)
+    for run in ("a@b 1", "1.2", "x1 2"):
+        lattice = pii.Lattice(run, "")
+        model = pii.Model()
+        model.index = {f: k for k, f in enumerate({f for names in lattice.names for f in names})}
+        model.weights = rng.normal(0, 1, (len(model.index), len(pii.TYPES)))
+        model.weights[:, 0] = 0
+        model.trans = rng.normal(0, 1, model.trans.shape)
+        scores = model.scores(lattice)
+        cuts = list(segmentations(lattice))
+        values = np.array([value(model, scores, c) for c in cuts])
+        chance, pairs = model.expected(lattice, scores)
+        weight = np.exp(values - values.max())
+        weight /= weight.sum()
+        want, follow = np.zeros_like(chance), np.zeros_like(pairs)
+        for c, w in zip(cuts, weight):
+            y = 0
+            for k, t in c:
+                follow[y, t] += w
+                y = t
+                if t:
+                    want[k, t] += w
+        assert np.allclose(chance, want) and np.allclose(pairs, follow)
+        best = [(lattice.bounds[lattice.segments[k][0]], lattice.bounds[lattice.segments[k][1]], pii.TYPES[t]) for k, t in cuts[int(values.argmax())] if t]
+        keep = [k for k, (s, e) in enumerate(lattice.segments)]
+        if all(scores[k, 1:].max() > -4 for k in keep):
+            assert model.best(lattice) == best
+
+
+def test_offsets_count_characters():
+    texts = pa.array(["é 1", None, "", "a  b@c\n\n2 3", "no", "ß" * 5 + " x9"])
+    assert [(r, s, run) for r, s, run, _ in pii.runs(texts)] == [(0, 2, "1"), (3, 3, "b@c\n\n2 3"), (5, 6, "x9")]
+    sliced = texts.slice(3, 3)
+    assert [(r, s, run) for r, s, run, _ in pii.runs(sliced)] == [(0, 3, "b@c\n\n2 3"), (2, 6, "x9")]
+
+
+def test_documents_of_the_test_tables(spark, pii_model):
+    """Every planted form goes; a plain pattern for each finds none left."""
+    import re
+
+    from roadledger.llm import base
+
+    docs = base.table(spark, "/root/testdata/sf0.01", "documents")
+    left = pii.redact(docs, pii_model).select("text").toPandas()["text"]
+    forms = r"\S+@\S+\.\w+|\+\d \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b|[0-9a-fA-F]{40}"
+    assert not [x for t in left for x in re.findall(forms, t)]
+    assert sum("License" in t for t in left) == docs.where("text like '%License%'").count()
