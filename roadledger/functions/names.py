@@ -28,3 +28,8 @@ def extension(name: Column, default: str = ".jpg") -> Column:
 
 def report_line(violation: Column, amount: Column, status: Column) -> Column:
     return F.concat(F.replace(violation, F.lit("_"), F.lit(" ")), F.lit(" ₹"), amount.cast("string"), F.lit(" ("), status, F.lit(")"))
+
+
+def job_id() -> Column:
+    """A random id for each row; not the same twice."""
+    return F.uuid()

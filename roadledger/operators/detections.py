@@ -71,3 +71,8 @@ def first_sure_text(candidates: DataFrame, least: float = Config.ocr_confidence)
 def class_names(dets: DataFrame, classes: DataFrame) -> DataFrame:
     """Class numbers to labels; numbers without one are dropped. The dimension is of fixed size."""
     return dets.join(F.broadcast(classes), "class_id").withColumnRenamed("name", "label")
+
+
+def image_fines(summary: DataFrame) -> DataFrame:
+    """One row a violation of the images whose plate could be read."""
+    return summary.where(plates.readable(F.col("plate")).isNotNull()).select(*FRAME, "plate", F.explode("violations").alias("violation"))

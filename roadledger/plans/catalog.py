@@ -65,6 +65,10 @@ SELECT plate, bh OR st_name IS NOT NULL AS recognized, clean_plate, CASE WHEN bh
  CASE WHEN bh THEN regexp_extract(t, '^([0-9]{{2}})BH([0-9]{{4}})([A-Z]{{1,2}})$', 3) WHEN st_name IS NOT NULL THEN regexp_extract(t, re, 3) END AS series,
  CASE WHEN bh THEN regexp_extract(t, '^([0-9]{{2}})BH([0-9]{{4}})([A-Z]{{1,2}})$', 2) WHEN st_name IS NOT NULL THEN regexp_extract(t, re, 4) END AS number,
  CASE WHEN bh THEN 'Registered 20' || substr(t, 1, 2) END AS extra FROM j"""
+_IMAGES = f"""img AS (SELECT *, CASE WHEN label = 'Helmet?' AND det_id % 2 = 0 THEN 'WithHelmet' ELSE label END AS lab FROM detections WHERE conf >= 0.25e0),
+bare AS (SELECT DISTINCT a.video_id, a.frame_idx FROM img a WHERE a.lab = 'WithoutHelmet' AND NOT EXISTS (SELECT 1 FROM img b WHERE b.lab = 'WithHelmet' AND a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND {_IOU} > 0.1e0)),
+agg AS (SELECT video_id, frame_idx, bool_or(lab = 'TripleRiding') AS triple, count(*) AS n FROM img GROUP BY ALL),
+pl AS (SELECT video_id, frame_idx, max_by(ocr_texts, det_id) AS ocr_texts FROM img WHERE lab = 'Plate' GROUP BY ALL)"""
 _RAW = "CASE id % 9 WHEN 0 THEN lower(plate) WHEN 1 THEN concat(' ', substr(plate, 1, 2), '-', substr(plate, 3), ' ') WHEN 2 THEN concat('22bh', substr(plate, 7, 4), 'aa') WHEN 3 THEN concat('MH', CAST(id % 10 AS STRING), 'A1') WHEN 4 THEN '***' WHEN 5 THEN concat('22BH', substr(plate, 7, 4), 'AAA') WHEN 6 THEN '' ELSE plate END"
 _SEQUENCE = "id % 7"
 
@@ -93,6 +97,12 @@ def _lane_streaks(dets: DataFrame) -> DataFrame:
     return confirm.streaks(seen, "track_id", "violation")
 
 
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame as an image of its own."""
+    label = F.when((F.col("label") == "Helmet?") & (F.col("det_id") % 2 == 0), "WithHelmet").otherwise(F.col("label"))
+    return detections.image_summary(_dets(spark, sf_dir).withColumn("label", label), fixtures.frames(spark, sf_dir))
+
+
 def _dets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections as a table of their own, as they are in production, for plans with several branches."""
     return storage.written(fixtures.detections(spark, sf_dir), "detections")
@@ -303,17 +313,22 @@ def nearest_plate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(_dets(spark, sf_dir)).select("video_id", "frame_idx", "det_id", "near_id", F.round("distance", 9).alias("distance"))
 
 
-@query(f"""WITH img AS (SELECT *, CASE WHEN label = 'Helmet?' AND det_id % 2 = 0 THEN 'WithHelmet' ELSE label END AS lab FROM detections WHERE conf >= 0.25e0),
-bare AS (SELECT DISTINCT a.video_id, a.frame_idx FROM img a WHERE a.lab = 'WithoutHelmet' AND NOT EXISTS (SELECT 1 FROM img b WHERE b.lab = 'WithHelmet' AND a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND {_IOU} > 0.1e0)),
-agg AS (SELECT video_id, frame_idx, bool_or(lab = 'TripleRiding') AS triple, count(*) AS n FROM img GROUP BY ALL),
-pl AS (SELECT video_id, frame_idx, max_by(ocr_texts, det_id) AS ocr_texts FROM img WHERE lab = 'Plate' GROUP BY ALL)
+@query(f"""WITH {_IMAGES}
 SELECT f.video_id, f.frame_idx, {_TEXT} AS plate, concat_ws(',', CASE WHEN bare.video_id IS NOT NULL THEN 'no_helmet' END, CASE WHEN triple THEN 'triple_riding' END) AS violations, coalesce(n, 0) AS n_detections
 FROM frames f LEFT JOIN agg USING (video_id, frame_idx) LEFT JOIN bare USING (video_id, frame_idx) LEFT JOIN pl USING (video_id, frame_idx)""")
 def image_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each frame as an image of its own."""
-    label = F.when((F.col("label") == "Helmet?") & (F.col("det_id") % 2 == 0), "WithHelmet").otherwise(F.col("label"))
-    found = detections.image_summary(_dets(spark, sf_dir).withColumn("label", label), fixtures.frames(spark, sf_dir))
-    return found.withColumn("violations", F.array_join("violations", ","))
+    return _images(spark, sf_dir).withColumn("violations", F.array_join("violations", ","))
+
+
+@query(f"""WITH {_IMAGES},
+s AS (SELECT f.video_id, f.frame_idx, {_TEXT} AS plate, unnest(list_value(CASE WHEN bare.video_id IS NOT NULL THEN 'no_helmet' END, CASE WHEN triple THEN 'triple_riding' END)) AS violation
+ FROM frames f LEFT JOIN agg USING (video_id, frame_idx) LEFT JOIN bare USING (video_id, frame_idx) LEFT JOIN pl USING (video_id, frame_idx))
+SELECT video_id, frame_idx, plate, violation, {_AMOUNT} AS amount, concat('evidence/', plate, '_', violation, '_', video_id, '_', frame_idx, '_', 0, '.jpg') AS image_path FROM s WHERE violation IS NOT NULL AND plate <> ''""")
+def image_fines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fines of single images: none without a readable plate."""
+    fined = ledger.with_amount(detections.image_fines(_images(spark, sf_dir)), dims.amounts(spark))
+    path = names.evidence_path(F.col("plate"), F.col("violation"), F.col("video_id"), F.col("frame_idx"), F.lit(0))
+    return fined.select("video_id", "frame_idx", "plate", "violation", "amount", path.alias("image_path"))
 
 
 @query(f"WITH pl AS (SELECT video_id, frame_idx, max_by(ocr_texts, det_id) AS ocr_texts FROM detections WHERE label = 'Plate' GROUP BY ALL) SELECT video_id, frame_idx, {_TEXT} AS plate FROM pl")
@@ -416,6 +431,15 @@ def video_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.violations(dets, dims.amounts(spark), CALIBRATED, tracked)
 
 
+@query()
+def cli_video_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the plate text of the other front end: the first fragment, letters and digits of any script."""
+    dets = _dets(spark, sf_dir)
+    text = plates.cleaned_unicode(F.get("ocr_texts", F.lit(0)))
+    tracked = storage.written(video.tracks(dets, CALIBRATED, text), "tracks")
+    return video.violations(dets, dims.amounts(spark), CALIBRATED, tracked)
+
+
 @query()
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.summary(_dets(spark, sf_dir), fixtures.frames(spark, sf_dir), dims.amounts(spark), CALIBRATED)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadledger.config import Config
@@ -12,9 +12,10 @@ from roadledger.operators import confirm, detections, ledger, tracking
 SIDES = ("x1", "y1", "x2", "y2")
 
 
-def tracks(dets: DataFrame, config: Config = Config()) -> DataFrame:
-    """Plate boxes with track_id and the plate's text."""
-    boxes = dets.where("label = 'Plate'").select("video_id", "frame_idx", "det_id", *SIDES, plates.joined_text(F.col("ocr_texts")).alias("plate"))
+def tracks(dets: DataFrame, config: Config = Config(), text: Column | None = None) -> DataFrame:
+    """Plate boxes with track_id and the plate's text: the joined OCR fragments, or another column."""
+    text = plates.joined_text(F.col("ocr_texts")) if text is None else text
+    boxes = dets.where("label = 'Plate'").select("video_id", "frame_idx", "det_id", *SIDES, text.alias("plate"))
     return tracking.track(boxes, config)
 
 
