@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch, where the session has Spark's default.
+BATCH_ROWS = 500
 #: Rows up to which a side is broadcast; beyond, the join is left to a shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -51,6 +53,18 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow, for rows as long as documents.
+
+    Spark's default of 10,000 rows a batch would hold tens of MB of text in the JVM and again in
+    the worker; a session that still has it gets `BATCH_ROWS`. Results don't depend on it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def sized(batches: Iterable[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in pieces of about `limit` bytes of `column`, one row at least."""
     for batch in batches:

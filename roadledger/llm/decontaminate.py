@@ -137,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS,
 
     def searched() -> DataFrame:
         own, ids = list(strings), list(strings.values())
-        return texts.mapInArrow(lambda batches: _search(own, ids, batches), PAIRS)
+        return base.mapped(texts, lambda batches: _search(own, ids, batches), PAIRS)
 
     for row in items.toLocalIterator():
         for s in windows(base.normalise(pa.array([row["text"]]))[0].as_py(), n_words):

@@ -188,7 +188,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def winning_paths(pages: DataFrame) -> DataFrame:
     """(host, path) with the most votes of the host's pages. pages: host, html."""
-    counted = pages.where("host is not null and html is not null").select("host", "html").mapInArrow(_vote, "host string, path string, share double, first int")
+    counted = base.mapped(pages.where("host is not null and html is not null").select("host", "html"), _vote, "host string, path string, share double, first int")
     sums = counted.groupBy("host", "path").agg(F.round(F.sum("share"), 4).alias("share"), F.sum("first").alias("first"))
     order = Window.partitionBy("host").orderBy(F.desc("share"), F.desc("first"), "path")
     return sums.withColumn("place", F.row_number().over(order)).where("place = 1").select("host", "path")
@@ -199,7 +199,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower(F.col("url").cast("string")), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.when(host != "", host).alias("host"), F.col("html").cast("string").alias("html"))
     paths = base.stash(winning_paths(own), "paths")
-    return own.join(base.small(paths), "host", "left").select("page_id", "host", "html", "path").mapInArrow(_extract, "page_id bigint, host string, path string, method string, text string")
+    return base.mapped(own.join(base.small(paths), "host", "left").select("page_id", "host", "html", "path"), _extract, "page_id bigint, host string, path string, method string, text string")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

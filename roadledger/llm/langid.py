@@ -254,14 +254,14 @@ def identify(docs: DataFrame, model: Model | None = None, least: float = LEAST)
     """One row for each document: language, confidence, whether it is kept, and runs of words by language."""
     model = model or train(sample(docs))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lambda batches: _identify(model, least, batches), RESULT)
+    return base.mapped(texts, lambda batches: _identify(model, least, batches), RESULT)
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, least: float = LEAST) -> DataFrame:
     """docs, all columns, without the documents that are rejected."""
     model = model or train(sample(docs))
     place = docs.columns.index("text")
-    return docs.mapInArrow(lambda batches: _keep(model, least, batches, place), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    return base.mapped(docs, lambda batches: _keep(model, least, batches, place), T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

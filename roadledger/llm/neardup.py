@@ -231,7 +231,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFram
     need = pairs.select(F.col("a").alias("lead"), F.col("b").alias("doc"), "part").unionAll(pairs.select(F.col("a").alias("lead"), F.col("a").alias("doc"), "part").distinct())
     rows = texts.join(base.small(need), texts["doc_id"] == F.col("doc")).select("lead", "doc", "part", "text")
     rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("doc") != F.col("lead"), "doc")
-    out = rows.mapInArrow(lambda batches: _verify(batches, similarity), "a bigint, b bigint, near boolean")
+    out = base.mapped(rows, lambda batches: _verify(batches, similarity), "a bigint, b bigint, near boolean")
     return base.stash(out.groupBy("a", "b").agg(F.max("near").alias("near")), "verified")
 
 
@@ -252,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, kept_id): every document that goes, with the one of its group that stays."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    all_ = base.stash(texts.mapInArrow(_sketches, "doc_id bigint, n int, h1 bigint, h2 bigint, keys array<bigint>, bins binary"), "sketches")
+    all_ = base.stash(base.mapped(texts, _sketches, "doc_id bigint, n int, h1 bigint, h2 bigint, keys array<bigint>, bins binary"), "sketches")
     equal = all_.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     rep_of = base.stash(all_.select("doc_id", "h1", "h2", "n").join(equal, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep")), "equal")
     reps = all_.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     def from_buckets(rows: DataFrame, second: bool) -> DataFrame:
         rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc")
-        return rows.mapInArrow(lambda batches: _in_buckets(batches, similarity, second), "a bigint, b bigint")
+        return base.mapped(rows, lambda batches: _in_buckets(batches, similarity, second), "a bigint, b bigint")
 
     led = from_buckets(crowded.withColumn("open", F.lit(False)), False)
     checked = _verified(texts, base.stash(few.unionAll(led).distinct(), "pairs"), similarity)

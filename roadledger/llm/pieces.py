@@ -131,7 +131,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             counts = pa.array(np.diff(offsets), pa.int32(), mask=null)
             yield pa.RecordBatch.from_arrays([*batch.columns, _lists(offsets, ids, null), counts], [*batch.schema.names, "ids", "n_tokens"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]))
+    return base.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]))
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -149,7 +149,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
             null = lists.is_null().to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if n else t for n, t in zip(null, texts)], pa.string())], [*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
+    return base.mapped(rows, run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -165,7 +165,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
             exact = pc.equal(back, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(offsets, ids, null), pa.array(np.diff(offsets), pa.int32(), mask=null), exact], ["doc_id", "ids", "n_tokens", "exact"])
 
-    return texts.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens int, exact boolean")
+    return base.mapped(texts, run, "doc_id bigint, ids array<int>, n_tokens int, exact boolean")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,7 +374,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
             spans = list(found.values())
             yield pa.RecordBatch.from_arrays([some.column(0), _list(spans), pa.array([masked(t, s) for t, s in zip(some.column(1).to_pylist(), spans)], pa.string())], ["doc_id", "spans", "redacted"])
 
-    return texts.mapInArrow(run, f"doc_id bigint, spans {SPANS}, redacted string")
+    return base.mapped(texts, run, f"doc_id bigint, spans {SPANS}, redacted string")
 
 
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -400,7 +400,7 @@ def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
             yield batch
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    return base.mapped(docs, run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

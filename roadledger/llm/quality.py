@@ -136,7 +136,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 ["doc_id", "p_quality", "quality", "p_toxic", "toxic", "kept"],
             )
 
-    return texts.mapInArrow(run, RESULT)
+    return base.mapped(texts, run, RESULT)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         if not len(vocabulary):
             return
         index = {w: n for n, w in enumerate(vocabulary.to_pylist())}
-        counts = texts.mapInArrow(lambda batches: _count(batches, vocabulary), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        counts = base.mapped(texts, lambda batches: _count(batches, vocabulary), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
         n = {r["term"]: r["n"] for r in counts}
         documents = n.get(-1, 0)
         if not documents:
@@ -165,7 +165,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         idf = np.log(1 + (documents - held + 0.5) / (held + 0.5))
         own = [(item, np.array(sorted(index[w] for w in words)), np.array([words[w] for w in sorted(words, key=index.get)])) for item, words in batch if words]
         average = n[-2] / documents
-        results.append(texts.mapInArrow(lambda batches: _search(batches, vocabulary, idf, average, own, k), "item_id bigint, doc_id bigint, score double"))
+        results.append(base.mapped(texts, lambda batches: _search(batches, vocabulary, idf, average, own, k), "item_id bigint, doc_id bigint, score double"))
 
     batch: list[tuple[int, Counter]] = []
     for row in asked.toLocalIterator():

@@ -186,14 +186,14 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group_rows: i
     """
     gram = min(gram, least)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    all_ = base.stash(texts.mapInArrow(lambda batches: _anchors(batches, least, gram), "prefix bigint, doc_id bigint, at int, lo int, hi int"), "prefixes")
+    all_ = base.stash(base.mapped(texts, lambda batches: _anchors(batches, least, gram), "prefix bigint, doc_id bigint, at int, lo int, hi int"), "prefixes")
     shared = all_.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("rows")).where("a <> b").select("prefix", (F.col("rows") > group_rows).alias("crowded"))
     own = all_.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(F.struct("prefix", "lo", "hi", "crowded")).alias("found"))
-    records = texts.join(own, "doc_id").select("doc_id", "text", "found").mapInArrow(lambda batches: _records(batches, least), "prefix bigint, more bigint, doc_id bigint, lo int, hi int, words string")
+    records = base.mapped(texts.join(own, "doc_id").select("doc_id", "text", "found"), lambda batches: _records(batches, least), "prefix bigint, more bigint, doc_id bigint, lo int, hi int, words string")
     records = base.stash(records, "records")
 
     few = records.where("words is not null").repartition("prefix").sortWithinPartitions("prefix")
-    runs = few.mapInArrow(lambda batches: _trees(batches, least), "doc_id bigint, start_word int, end_word int, first_doc_id bigint")
+    runs = base.mapped(few, lambda batches: _trees(batches, least), "doc_id bigint, start_word int, end_word int, first_doc_id bigint")
     crowd = records.where("words is null").select("prefix", "more", "doc_id", "lo")
     deep = crowd.groupBy("prefix", "more").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("b")).where("first_doc_id <> b")
     runs = runs.unionAll(crowd.join(deep, ["prefix", "more"]).select("doc_id", F.col("lo").alias("start_word"), (F.col("lo") + least).alias("end_word"), "first_doc_id"))

@@ -195,10 +195,10 @@ def build(pages: DataFrame, lines: int = BLOCK_LINES) -> tuple[str, DataFrame]:
     folder = base.scratch_path(spark, "warc")
     folder = folder if "://" in folder else "file://" + folder
     own = pages.where("url is not null").select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    captures = base.stash(own.mapInArrow(lambda batches: _write(batches, folder), LINE), "captures")
+    captures = base.stash(base.mapped(own, lambda batches: _write(batches, folder), LINE), "captures")
     ordered = captures.repartitionByRange("key", F.col("page_id").asc_nulls_first()).sortWithinPartitions("key", "page_id", "file", "offset")
     directory = f"{folder}/directory"
-    ordered.mapInArrow(lambda batches: _blocks(batches, folder, lines), ENTRY).where("lines > 0").write.parquet(directory)
+    base.mapped(ordered, lambda batches: _blocks(batches, folder, lines), ENTRY).where("lines > 0").write.parquet(directory)
     return directory, captures
 
 
@@ -227,7 +227,7 @@ def lookup(keys: DataFrame, directory: str) -> DataFrame:
             index.close()
 
     asked = keys.where("key is not null").select("key").distinct()
-    return asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key string, page_id bigint, digest string, n_bytes bigint, sound boolean")
+    return base.mapped(asked.repartitionByRange("key").sortWithinPartitions("key"), run, "key string, page_id bigint, digest string, n_bytes bigint, sound boolean")
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
