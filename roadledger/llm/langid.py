@@ -6,8 +6,12 @@ learned transitions. Forward-backward gives each word's marginals. Weights are l
 bounded sample of documents with a `lang`, whose lines are strung together as code-switched text.
 
 A document's language is the one with the largest sum of marginals over words with letters;
-`confidence` is its share. A document is kept if it has a word with letters and one language
-has `least` of the marginals.
+`confidence` is its share. Marginals only compare the languages that were learned, so whether a
+text is in any of them is measured apart: a word's fit is the share of its 3- and 4-grams that the
+sample has in the language that the word is labelled with, a document's fit the mean over its
+words with letters. A document is kept if it has a word with letters, one language has `least` of
+the marginals and its fit is `FIT` or more; text in other languages, gibberish and encoded blobs
+stay below.
 
 Defined cases: a null or empty text, or one without letters, has lang null, confidence 0, no
 words kept and kept = false; words without letters take their label from their neighbours; on
@@ -32,6 +36,8 @@ from roadledger.llm import base
 #: Labelled documents of each language that weights are learned from.
 TRAIN_DOCS = 60
 LEAST = 0.3
+#: Least fit of a document, and the n-grams and slots that it is measured with.
+FIT, FIT_ORDERS, FIT_BITS = 0.5, (3, 4), 18
 BITS, ORDERS, BLOCK = 16, (1, 2, 3, 4), 64
 LEXICON_COUNT = 5
 ROUNDS, RATE, DECAY = 20, 0.15, 1e-4
@@ -110,6 +116,7 @@ class Model:
         self.grams = np.zeros((1 << BITS, size), np.float32)
         self.lexicon = np.empty(0, np.uint64)
         self.entries = np.zeros((1, size), np.float32)  # the last one is for words outside
+        self.seen = np.zeros((1 << FIT_BITS, size), bool)  # n-grams of each language's sample
         self.trans = np.eye(size) * 0.9 + 0.1 / max(1, size)
 
     def entry(self, words: pa.Array) -> np.ndarray:
@@ -128,6 +135,12 @@ class Model:
         out[~has] = 0
         return out
 
+    def fits(self, plain: pa.Array) -> np.ndarray:
+        """The share of each distinct word's n-grams that each language's sample has."""
+        slots, word = base.grams(plain, FIT_ORDERS, FIT_BITS, ordered=False)
+        known = np.stack([np.bincount(word, self.seen[slots, k], len(plain)) for k in range(len(self.languages))], 1)
+        return known / np.maximum(1, np.bincount(word, minlength=len(plain)))[:, None]
+
     @staticmethod
     def potentials(scores: np.ndarray) -> np.ndarray:
         return np.exp(np.maximum(scores - scores.max(1, keepdims=True), -20)) if len(scores) else scores
@@ -155,6 +168,11 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     cuts = np.flatnonzero(rng.random(len(lines)) < 0.4)  # a sequence is one line or a few
     offsets = np.unique(np.concatenate([[0], line_off[cuts], [len(codes)]]))
     plain, has = letters(words)
+    own, place = base.grams(plain, FIT_ORDERS, FIT_BITS)
+    for k in range(len(languages)):
+        within = np.zeros(len(words), bool)
+        within[codes[gold == k]] = True
+        model.seen[own[within[place]], k] = True
     slots, word = base.grams(plain, ORDERS, BITS)
     hashed, times = base.hash_strings(plain), np.bincount(codes, minlength=len(words))
     order = np.argsort(hashed)
@@ -192,27 +210,34 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 def label(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word offsets of each text, marginals of each word, and whether the word has letters."""
+    return _labelled(model, texts)[:3]
+
+
+def _labelled(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `label` gives, and each word's fit."""
     offsets, codes, words = base.split_words(texts)
     plain, has = letters(words)
     slots, word = base.grams(plain, ORDERS, BITS)
     potentials = Model.potentials(model.scores(slots, word, model.entry(plain), has))
-    return offsets, forward_backward(potentials[codes], offsets, model.trans), has[codes]
+    marginals = forward_backward(potentials[codes], offsets, model.trans)
+    return offsets, marginals, has[codes], model.fits(plain)[codes, marginals.argmax(1)]
 
 
 def decide(model: Model, texts: pa.Array, least: float) -> dict[str, np.ndarray]:
-    """Of each text: lang (an index, -1 for none), confidence, n_words, kept; and the words' labels."""
+    """Of each text: lang (an index, -1 for none), confidence, fit, n_words, kept; and the words' labels."""
     rows = len(texts)
     if not model.languages:
         offsets, _, _ = base.split_words(texts)
         nothing = np.zeros(rows)
-        return {"lang": np.full(rows, -1), "confidence": nothing, "n_words": np.diff(offsets), "kept": nothing > 1, "offsets": np.zeros(rows + 1, np.int64), "labels": np.empty(0, np.int64)}
-    offsets, marginals, has = label(model, texts)
+        return {"lang": np.full(rows, -1), "confidence": nothing, "fit": nothing, "n_words": np.diff(offsets), "kept": nothing > 1, "offsets": np.zeros(rows + 1, np.int64), "labels": np.empty(0, np.int64)}
+    offsets, marginals, has, fits = _labelled(model, texts)
     row = np.repeat(np.arange(rows), np.diff(offsets))
     sums = np.stack([np.bincount(row, marginals[:, k] * has, rows) for k in range(len(model.languages))], 1)
     spelled = np.bincount(row, has, rows)
     lang = np.where(spelled > 0, np.round(sums, 9).argmax(1), -1)
     confidence = np.where(spelled > 0, sums.max(1) / np.maximum(spelled, 1), 0.0)
-    return {"lang": lang, "confidence": confidence, "n_words": np.diff(offsets), "kept": (lang >= 0) & (confidence >= least), "offsets": offsets, "labels": marginals.argmax(1)}
+    fit = np.bincount(row, fits * has, rows) / np.maximum(spelled, 1)
+    return {"lang": lang, "confidence": confidence, "fit": fit, "n_words": np.diff(offsets), "kept": (lang >= 0) & (confidence >= least) & (fit >= FIT), "offsets": offsets, "labels": marginals.argmax(1)}
 
 
 def _named(model: Model, codes: np.ndarray) -> pa.Array:

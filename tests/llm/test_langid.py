@@ -74,3 +74,35 @@ def test_held_out_accuracy_and_switches(spark):
     offsets, marginals, _ = langid.label(model, pa.array([text]))
     want = np.repeat([model.languages.index(x) for x in ("en", "fr", "es", "de")], 40)
     assert (marginals.argmax(1) == want).mean() > 0.9
+
+
+#: Text in none of the documents' languages.
+FOREIGN = {
+    "nl": "De kat zat op de mat en keek naar buiten terwijl het regende. Wij gaan morgen met de trein naar Amsterdam omdat het weer daar veel beter is dan hier.",
+    "it": "Il gatto era seduto sul tappeto e guardava fuori mentre pioveva. Domani andremo in treno a Roma perché il tempo è molto migliore di quello che abbiamo qui.",
+    "pt": "O gato estava sentado no tapete e olhava para fora enquanto chovia. Amanhã vamos de trem para Lisboa porque o tempo lá é muito melhor do que aqui.",
+    "pl": "Kot siedział na macie i patrzył na zewnątrz, kiedy padał deszcz. Jutro pojedziemy pociągiem do Krakowa, ponieważ pogoda jest tam znacznie lepsza.",
+    "fi": "Kissa istui matolla ja katsoi ulos sateen aikana. Huomenna menemme junalla Helsinkiin, koska sää on siellä paljon parempi kuin täällä.",
+    "ru": "Кот сидел на коврике и смотрел на улицу, пока шёл дождь. Завтра мы поедем на поезде в Москву, потому что погода там лучше.",
+}
+
+
+def test_foreign_text_and_gibberish_are_rejected_and_clean_text_is_kept(spark):
+    docs = base.table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.train(langid.sample(docs.where("doc_id % 2 = 0"), 40))
+    rng = np.random.default_rng(3)
+    drawn = lambda alphabet, least, most, count: " ".join("".join(rng.choice(list(alphabet), rng.integers(least, most))) for _ in range(count))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    texts = [*FOREIGN.values(), *(drawn(small, 2, 11, 30) for _ in range(20)), *(drawn(small + small.upper() + "0123456789+/", 76, 77, 6) for _ in range(20))]
+    held = [r["text"] for r in docs.where("doc_id % 2 = 1").collect() if len(r["text"].split()) > 30]
+    texts += [" ".join("".join(rng.permutation(list(w))) for w in t.split()[:200]) for t in held[:20]]  # shuffled letters
+    assert not langid.decide(model, pa.array(texts), langid.LEAST)["kept"].any()
+    assert langid.decide(model, pa.array(held), langid.LEAST)["kept"].mean() > 0.99
+    short = [" ".join(t.split()[:5]) for t in held]
+    assert langid.decide(model, pa.array(short), langid.LEAST)["kept"].mean() > 0.98
+
+
+def test_one_language_alone_can_reject():
+    model = langid.train([("en", "the cat and the dog of this house were with them for the night\n" * 3)])
+    d = langid.decide(model, pa.array(["the dog of the house", "qzx jvk wpf", FOREIGN["ru"]]), langid.LEAST)
+    assert list(d["kept"]) == [True, False, False] and list(d["confidence"].round(6)) == [1, 1, 1]
