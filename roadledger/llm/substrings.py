@@ -11,8 +11,12 @@ internal nodes at depth LEAST give the repeats. A larger group is split by longe
 LEAST words, where each part is one deep node and only counted. Repeats at adjoining starts of a
 document are one stretch: neighbouring deep nodes joined to maximal repeats.
 
-Defined cases: null and short texts have no repeats; passages that repeat inside one document
-only are none; rows with the same doc_id are one document; a null doc_id is ignored; an empty
+`op1_substring_dedup` counts documents: passages that repeat inside one document only are none.
+`op1_substring_dedup_inside` counts occurrences, each a document and a start: a passage is a repeat
+if it occurs at two starts, be it of one document, and overlapping occurrences count as well, so a
+line that is said over and over is one stretch.
+
+Defined cases: null and short texts have no repeats; rows with the same doc_id are one document; a null doc_id is ignored; an empty
 table gives an empty result; other columns are ignored. Exact copies repeat as a whole.
 """
 
@@ -119,8 +123,8 @@ def names(codes: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
     return name, span
 
 
-def _subtree(group: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: pa.Array, least: int) -> list[np.ndarray]:
-    """Runs (doc, first start, end, first document) of suffixes under deep nodes of two documents."""
+def _subtree(group: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: pa.Array, least: int, inside: bool) -> list[np.ndarray]:
+    """Runs (doc, first start, end, first document) of suffixes under deep nodes of two documents, or with inside of two places."""
     lists = pc.split_pattern(texts, " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
     codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -137,8 +141,14 @@ def _subtree(group: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     least_doc, most_doc = np.full(node.max(initial=-1) + 1, np.iinfo(np.int64).max), np.full(node.max(initial=-1) + 1, np.iinfo(np.int64).min)
     np.minimum.at(least_doc, node, own)
     np.maximum.at(most_doc, node, own)
-    deep = least_doc[node] != most_doc[node]
-    record, at, first = record[deep], (lo[record] + start - offsets[:-1][record])[deep], least_doc[node][deep]
+    several, place = least_doc != most_doc, lo[record] + start - offsets[:-1][record]
+    if inside:
+        least_place, most_place = np.full(len(least_doc), np.iinfo(np.int64).max), np.full(len(least_doc), -1)
+        np.minimum.at(least_place, node, place)
+        np.maximum.at(most_place, node, place)
+        several |= least_place != most_place
+    deep = several[node]
+    record, at, first = record[deep], place[deep], least_doc[node][deep]
     if not len(record):
         return [np.empty(0, np.int64)] * 4
     new = np.flatnonzero(np.concatenate([[True], (record[1:] != record[:-1]) | (at[1:] != at[:-1] + 1)]))
@@ -146,7 +156,7 @@ def _subtree(group: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray,
     return [doc[record[new]], at[new], at[last] + least, np.minimum.reduceat(first, new)]
 
 
-def _trees(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _trees(batches: Iterator[pa.RecordBatch], least: int, inside: bool) -> Iterator[pa.RecordBatch]:
     """Records sorted by prefix to runs, whole groups at a time."""
     schema = ["doc_id", "start_word", "end_word", "first_doc_id"]
 
@@ -157,7 +167,7 @@ def _trees(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         doc, lo, hi = (joint.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "lo", "hi"))
         texts = joint.column("words").combine_chunks()
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        a, b, c, d = _subtree(group, doc, lo, hi, texts, least)
+        a, b, c, d = _subtree(group, doc, lo, hi, texts, least, inside)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d)], schema)
 
     held, words = [], 0
@@ -178,8 +188,8 @@ def _trees(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield built(held)
 
 
-def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, first_doc_id): stretches of each document that occur elsewhere.
+def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group_rows: int = GROUP_ROWS, inside: bool = False) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words, first_doc_id): stretches of each document that occur in another, or with inside at another place.
 
     first_doc_id is the smallest document that a part of the stretch occurs in; where it is the
     document itself, this is the occurrence to keep.
@@ -187,15 +197,17 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group_rows: i
     gram = min(gram, least)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     all_ = base.stash(base.mapped(texts, lambda batches: _anchors(batches, least, gram), "prefix bigint, doc_id bigint, at int, lo int, hi int"), "prefixes")
-    shared = all_.groupBy("prefix").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("rows")).where("a <> b").select("prefix", (F.col("rows") > group_rows).alias("crowded"))
+    ends = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("at").alias("c"), F.max("at").alias("d")]
+    shared = all_.groupBy("prefix").agg(*ends, F.count("*").alias("rows")).where("a <> b or c <> d" if inside else "a <> b").select("prefix", (F.col("rows") > group_rows).alias("crowded"))
     own = all_.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(F.struct("prefix", "lo", "hi", "crowded")).alias("found"))
     records = base.mapped(texts.join(own, "doc_id").select("doc_id", "text", "found"), lambda batches: _records(batches, least), "prefix bigint, more bigint, doc_id bigint, lo int, hi int, words string")
     records = base.stash(records, "records")
 
     few = records.where("words is not null").repartition("prefix").sortWithinPartitions("prefix")
-    runs = base.mapped(few, lambda batches: _trees(batches, least), "doc_id bigint, start_word int, end_word int, first_doc_id bigint")
+    runs = base.mapped(few, lambda batches: _trees(batches, least, inside), "doc_id bigint, start_word int, end_word int, first_doc_id bigint")
     crowd = records.where("words is null").select("prefix", "more", "doc_id", "lo")
-    deep = crowd.groupBy("prefix", "more").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("b")).where("first_doc_id <> b")
+    deep = crowd.groupBy("prefix", "more").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("b"), F.min("lo").alias("c"), F.max("lo").alias("d"))
+    deep = deep.where("first_doc_id <> b or c <> d" if inside else "first_doc_id <> b").drop("b", "c", "d")
     runs = runs.unionAll(crowd.join(deep, ["prefix", "more"]).select("doc_id", F.col("lo").alias("start_word"), (F.col("lo") + least).alias("end_word"), "first_doc_id"))
 
     by_doc = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
@@ -209,6 +221,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(base.table(spark, sf_dir, "documents"))
 
 
+def op1_substring_dedup_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(base.table(spark, sf_dir, "documents"), inside=True)
+
+
 ORACLE = {
     "op1_substring_dedup": r"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
@@ -220,4 +236,5 @@ u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRE
 SELECT doc_id, CAST(min(p) AS INTEGER) AS start_word, CAST(max(p) + 50 AS INTEGER) AS end_word, CAST(max(p) + 50 - min(p) AS INTEGER) AS n_words, min(first_doc_id) AS first_doc_id
 FROM u GROUP BY doc_id, k"""
 }
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+ORACLE["op1_substring_dedup_inside"] = ORACLE["op1_substring_dedup"].replace("HAVING min(doc_id) <> max(doc_id)", "HAVING min(doc_id) <> max(doc_id) OR min(p) <> max(p)")
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op1_substring_dedup_inside": op1_substring_dedup_inside}

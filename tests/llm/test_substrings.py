@@ -75,3 +75,39 @@ def test_repeats_inside_one_document_are_left_alone(spark):
     once = " ".join(f"w{k}" for k in range(60))
     table = spark.createDataFrame([(1, f"{once} and {once}"), (2, "other text"), (1, "other text of the same id")], "doc_id bigint, text string")
     assert substrings.repeats(table).count() == 0
+
+
+def brute_inside(docs, least):
+    """As brute, of windows found at two places."""
+    where = {}
+    words = {d: t.split() for d, t in docs}
+    for d, w in words.items():
+        for p in range(len(w) - least + 1):
+            where.setdefault(tuple(w[p : p + least]), []).append(d)
+    out = []
+    for d, w in words.items():
+        stretch = []
+        for p in range(len(w) - least + 1):
+            found = where[tuple(w[p : p + least])]
+            if len(found) > 1 and stretch and p < stretch[-1][1]:
+                stretch[-1][1], stretch[-1][2] = p + least, min(stretch[-1][2], *found)
+            elif len(found) > 1:
+                stretch.append([p, p + least, min(found)])
+        out += [(d, a, b, b - a, f) for a, b, f in stretch]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group_rows", [10_000, 3, 0])
+def test_repeats_inside_one_document_are_found_where_they_count(spark, group_rows):
+    rng = random.Random(group_rows)
+    docs = []
+    for d in range(80):
+        own = [f"{d}-{k}" for k in range(rng.randrange(3, 14))]
+        words = [*own, *(rng.choice("abcdefghijkl") for _ in range(rng.randrange(20))), *own * rng.randrange(3)]
+        docs.append((d, " ".join(words)))
+    docs += [(100, "so it goes " * 9), (101, " ".join(f"w{k}" for k in range(30)))]
+    rows = [*docs, docs[1]]  # a row twice is one document
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted(tuple(r) for r in substrings.repeats(table, least=7, gram=3, group_rows=group_rows, inside=True).collect())
+    assert got == brute_inside(docs, 7) and (100, 0, 27, 27, 100) in got
+    assert len({r[0] for r in got}) > len({r[0] for r in brute(docs, 7)}) + 10
