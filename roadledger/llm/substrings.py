@@ -1,15 +1,16 @@
-"""Substring dedup (1): prefix-partitioned suffix trees over words.
+"""Substring dedup (1): windows of words named in prefix partitions, in place of suffix trees.
 
 A repeat is a passage of at least `LEAST` white-space words that occurs in two documents or more.
 Suffixes are partitioned by variable-length prefixes: a suffix's prefix reaches from its start to
 the end of the k-gram with the least hash among the k-grams of its first LEAST words, so suffixes
 that share LEAST words share that prefix, and one record per k-gram holds all suffixes that end
-their prefix there. Prefixes that occur in one document only have no deep internal node with two
-documents and are dropped before any text moves. A group of up to `GROUP_ROWS` records becomes a
-subtree: its nodes are named by the prefix-doubling method of Karp, Miller and Rosenberg, and the
-internal nodes at depth LEAST give the repeats. A larger group is split by longer prefixes, up to
-LEAST words, where each part is one deep node and only counted. Repeats at adjoining starts of a
-document are one stretch: neighbouring deep nodes joined to maximal repeats.
+their prefix there. Prefixes that occur in one document only can't hold a window of two documents
+and are dropped before any text moves. In a group of up to `GROUP_ROWS` records, windows of LEAST
+words are named by the prefix-doubling method of Karp, Miller and Rosenberg, as the nodes at depth
+LEAST of a suffix tree would tell them apart; no tree is built and nothing deeper is known. A larger
+group is split by the hash of whole windows, which are only counted. Overlapping windows of a
+document are one stretch, whichever documents each is shared with, so a stretch can be longer than
+any repeat in it and isn't a maximal repeat.
 
 `op1_substring_dedup` counts documents: passages that repeat inside one document only are none.
 `op1_substring_dedup_inside` counts occurrences, each a document and a start: a passage is a repeat
