@@ -6,8 +6,11 @@ an item with fewer words is one test string as a whole. A test string matches wh
 
 Defined cases: a null or empty text, or one without letters and digits, matches nothing; a null
 item or one without letters and digits gives no test string; a null doc_id or item_id is left
-out of the pairs; equal rows give one pair; equal items give a pair for each item_id; an empty
-table on either side gives an empty result. Other columns are ignored, whatever their names.
+out of the pairs; equal rows give one pair; equal items give a pair for each item_id; rows with
+the same item_id are one item of all their texts' test strings; rows with the same doc_id are one
+document, whose n_windows is the sum over its distinct normalised texts of the item's test strings
+found in each; neither depends on how many passes the search takes; an empty table on either side gives an empty result. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from pyspark.sql import functions as F
 from roadledger.llm import base
 
 N_WORDS = 13
-#: Bytes of test strings searched for in one pass; more take further passes over other items.
+#: Bytes of test strings after which a pass is full; the next items take a further pass.
 PASS_BYTES = 32 << 20
 #: Test strings are searched in two groups, so that few short ones don't shorten all skips.
 SHORT_BYTES = 24
 TABLE_BITS = 20
 LANE_BYTES = 1024
 PAIRS = "doc_id bigint, item_id bigint, n_windows int"
+#: `text` is a normalised text's hash; `string` a test string's number in its pass, all of an item's being in one.
+HITS = "doc_id bigint, text binary, item_id bigint, string int"
 
 
 class WuManber:
@@ -99,13 +104,16 @@ def windows(text: str, n_words: int) -> set[bytes]:
 
 
 def _search(strings: list[bytes], items: list[list[int]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     groups = []
     for wanted in (lambda s: len(s) < SHORT_BYTES, lambda s: len(s) >= SHORT_BYTES):
         own = [k for k, s in enumerate(strings) if wanted(s)]
         if own:
             groups.append((own, WuManber([strings[k] for k in own])))
     for batch in base.sized(batches, "text"):
-        joined = pc.binary_join_element_wise("\n", base.normalise(batch.column(1)), "\n", " ")
+        plain = base.normalise(batch.column(1))
+        joined = pc.binary_join_element_wise("\n", plain, "\n", " ")
         lengths = pc.binary_length(joined).to_numpy().astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths)])
         text = np.frombuffer("".join(joined.to_pylist()).encode(), np.uint8)
@@ -114,39 +122,38 @@ def _search(strings: list[bytes], items: list[list[int]], batches: Iterator[pa.R
             hits = list(finder.search(text))
             rows = np.searchsorted(starts, [h[1] for h in hits], side="right") - 1
             found.update((int(r), own[h[0]]) for r, h in zip(rows, hits))
-        pairs: dict[tuple[int, int], int] = {}
-        for row, s in found:
-            for item in items[s]:
-                pairs[row, item] = pairs.get((row, item), 0) + 1
         ids = batch.column(0).to_pylist()
-        out = [(ids[row], item, n) for (row, item), n in pairs.items() if ids[row] is not None]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())], ["doc_id", "item_id", "n_windows"])
+        own = {row: xxhash.xxh3_128_digest(plain[row].as_py().strip().encode("utf-8", "surrogatepass")) for row in {row for row, _ in found}}
+        out = [(ids[row], own[row], item, s) for row, s in found if ids[row] is not None for item in items[s]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int32()))], ["doc_id", "text", "item_id", "string"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, item_id, n_windows): how many test strings of each item a document holds, if any.
 
-    The test strings go to the executors with the function, in passes of at most `pass_bytes`;
-    the documents are scanned once a pass and nothing of them is shuffled but the matches.
+    The test strings go to the executors with the function, in passes of about `pass_bytes` that
+    end between two items; the documents are scanned once a pass and nothing of them is shuffled
+    but the matches.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct().orderBy("item_id")
     strings: dict[bytes, list[int]] = {}
-    held, out = 0, []
+    held, out, last = 0, [], None
 
     def searched() -> DataFrame:
         own, ids = list(strings), list(strings.values())
-        return base.mapped(texts, lambda batches: _search(own, ids, batches), PAIRS)
+        return base.mapped(texts, lambda batches: _search(own, ids, batches), HITS)
 
     for row in items.toLocalIterator():
+        if held > pass_bytes and row["item_id"] != last:
+            out.append(searched())
+            strings, held = {}, 0
+        last = row["item_id"]
         for s in windows(base.normalise(pa.array([row["text"]]))[0].as_py(), n_words):
             if row["item_id"] not in strings.setdefault(s, []):
                 strings[s].append(row["item_id"])
             held += len(s)
-        if held > pass_bytes:
-            out.append(searched())
-            strings, held = {}, 0
     if strings:
         out.append(searched())
     if not out:
@@ -154,7 +161,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS,
     found = out[0]
     for more in out[1:]:
         found = found.unionAll(more)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
+    distinct = found.distinct()  # an item's numbers are of one pass, so they can't meet others
+    return distinct.groupBy("doc_id", "item_id").agg(F.count("*").cast("int").alias("n_windows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n_words: int = N_WORDS) -> DataFrame:

@@ -56,3 +56,22 @@ def test_search_finds_every_occurrence(sizes):
 def test_shifts_skip():
     finder = decontaminate.WuManber([b"the quick brown fox jumps over the lazy dog"])
     assert finder.shift.max() == finder.m - 7 == 36 and finder.shift.min() == 0
+
+
+@pytest.mark.parametrize("pass_bytes", [1 << 20, 60])
+def test_repeated_ids_match_the_sql(spark, pass_bytes):
+    """Items and documents of several texts: windows are counted once, in however many passes and rows they are found."""
+    import duckdb
+
+    rng = random.Random(8)
+    passage = [f"w{rng.randrange(50)}" for _ in range(60)]
+    items = [(k % 4, " ".join(passage[a : a + 25])) for k, a in enumerate((0, 4, 30, 35, 8, 8, 20, 0))] + [(9, "w1 w2"), (9, "w3"), (None, "w1"), (5, None)]
+    docs = [(k % 7, " ".join(passage[a : a + rng.randrange(2, 40)])) for k in range(30) for a in (rng.randrange(50),)] + [(None, "w1 w2"), (3, None)]
+    table, bench = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    con = duckdb.connect()
+    for name, column, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({column} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    want = sorted(con.execute(decontaminate.ORACLE["op10_decontaminate"]).fetchall())
+    got = sorted((r["doc_id"], r["item_id"], r["n_windows"]) for r in decontaminate.contaminated(table, bench, pass_bytes=pass_bytes).collect())
+    assert got == want and len(got) > 15 and any(n > 13 for _, _, n in got)
