@@ -1,22 +1,27 @@
 """MinHash near-dedup (6): Order MinHash sketches, candidates verified by banded alignment.
 
 Texts are compared as words in lower case with letters and digits alone. Every pair of
-neighbouring words is a k-mer, labelled with how often it occurred before; each of `SKETCHES`
-hash functions takes the `TAKEN` smallest labelled k-mers and hashes them in text order, so that
-agreement falls with edit distance and not only with overlap. Documents that agree in a sketch
-are candidates; a pair is near if its word edit distance, by bit-parallel banded alignment, is at
-most 1 - `similarity` of the longer one's words. Groups are the connected parts.
-
-Equal word sequences are collapsed first by a 128-bit hash. In a bucket of more than
-`ALL_PAIRS`, documents are compared with the bucket's leaders: a document whose counts of words
-in 64 hashed bins prove the distance too large for every leader leads itself (the bound is exact,
-so no near pair is lost by it); a document whose comparisons all fail is then compared with
-everything in its buckets that the bound allows. Nothing is capped.
+neighbouring words is a k-mer, labelled with how often it occurred before; each hash function
+of a family takes the smallest few labelled k-mers and hashes them in text order, so that
+agreement falls with edit distance and not only with overlap. `FAMILIES` lists the families:
+one for all texts and two that take fewer k-mers, for short texts alone, where an edit within
+the threshold spoils a large share of the k-mers; a text's families follow from its own length.
+Documents that agree in a sketch are candidates; a pair is near if its word edit distance, by
+bit-parallel banded alignment, is at most 1 - `similarity` of the longer one's words. Groups are
+the connected parts.
+
+Equal word sequences are collapsed first by a 128-bit hash. The documents of a bucket are then
+compared in two rounds. In the first, each with the least doc_id of the bucket. In the second,
+every two that the near pairs so far don't connect. Pairs in one part can't change the parts, so
+the groups are those of all pairs in all buckets, whatever the buckets' sizes. In both rounds a
+pair is left out if the counts of its words in 64 hashed bins prove the distance too large (the
+bound is exact). Nothing is capped: a bucket of many members is spread over blocks of two parts.
 
 Defined cases: null or empty texts and texts without letters and digits are near to nothing;
 texts of one word are near if that word is equal; rows with the same doc_id are one document,
-whose first verified row decides; null doc_ids are ignored and always kept; the smallest doc_id
-of a group stays; an empty table gives an empty result. Other columns are ignored or passed on.
+near to all that one of its texts is near to; null doc_ids are ignored and always kept; the
+smallest doc_id of a group stays; an empty table gives an empty result. Other columns are ignored
+or passed on.
 """
 
 from __future__ import annotations
@@ -25,30 +30,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadledger.llm import base
+from roadledger.llm.pieces import ranges
 
 SIMILARITY = 0.8
-SKETCHES, TAKEN, BINS = 24, 3, 64
-ALL_PAIRS = 6
-#: Parts that the members of a large group are verified in.
-SALTS = 16
+#: (sketches, k-mers that each takes, most words of a text that has them).
+FAMILIES = ((32, 3, 1 << 30), (24, 2, 40), (16, 1, 10))
+BINS = 64
+#: Members of a large bucket that share a part, and pairs of a document that are verified together.
+PART_ROWS, TOGETHER = 500, 64
 _RNG = np.random.default_rng(20240607)
-_ODD = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEED = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
+_ODD = _RNG.integers(1, 1 << 63, sum(f[0] for f in FAMILIES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEED = _RNG.integers(1, 1 << 63, len(_ODD), dtype=np.uint64)
 _PLACE = np.uint64((1 << 30) - 1)
 
 
-def sketch(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(rows, n_words, two hashes, keys, bins) of the texts that have words."""
+def sketch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(rows, n_words, two hashes, keys, bins) of the texts that have words; keys: which of them and their keys, of each family."""
     offsets, codes, words = base.split_words(base.normalise(texts))
     n_words = np.diff(offsets)
     rows = np.flatnonzero(n_words)
     n_words, starts = n_words[rows], offsets[:-1][rows]
     if not len(rows):
-        return rows, n_words, np.empty((0, 2), np.int64), np.empty((0, SKETCHES), np.int64), np.empty((0, BINS), np.uint16)
+        return rows, n_words, np.empty((0, 2), np.int64), [], np.empty((0, BINS), np.uint16)
     word = base.hash_strings(words)[codes]
     own = np.repeat(np.arange(len(rows)), n_words)
     place = np.arange(len(word)) - starts[own]
@@ -74,32 +81,54 @@ def sketch(texts: pa.Array) -> tuple[np.ndarray, ...]:
     label = base.mix64(kmer + occurrence * np.uint64(0x9E3779B97F4A7C15))
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
 
-    keys = np.empty((len(rows), SKETCHES), np.int64)
+    keys, done = [], 0
+    for many, taken, most in FAMILIES:
+        some = np.flatnonzero(n_words <= most)
+        lengths = np.diff(np.append(starts, len(label)))[some]
+        chosen = label if len(some) == len(rows) else label[ranges(starts[some], lengths)]
+        keys.append((some, _keys(chosen, np.cumsum(lengths) - lengths, range(done, done + many), taken)))
+        done += many
+    return rows, n_words, np.stack(whole, 1).view(np.int64), keys, bins
+
+
+def _keys(label: np.ndarray, starts: np.ndarray, sketches: range, taken: int) -> np.ndarray:
+    """The key of each text, whose labelled k-mers begin at starts, in each sketch."""
+    keys = np.empty((len(starts), len(sketches)), np.int64)
+    if not len(starts):
+        return keys
     index = np.arange(len(label), dtype=np.uint64)
     label_or_none = np.append(label, np.uint64(0))
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for s in range(SKETCHES):
+    for k, s in enumerate(sketches):
         value = ((label * _ODD[s]) & ~_PLACE) | index
-        taken = []
-        for _ in range(TAKEN):
+        least_few = []
+        for _ in range(taken):
             least = np.minimum.reduceat(value, starts)
             where = np.where(least == none, len(label), (least & _PLACE)).astype(np.int64)
             value[where[where < len(label)]] = none
-            taken.append(where)
-        key = np.full(len(rows), _SEED[s], np.uint64)
-        for where in np.sort(np.stack(taken), axis=0):
+            least_few.append(where)
+        key = np.full(len(starts), _SEED[s], np.uint64)
+        for where in np.sort(np.stack(least_few), axis=0):
             key = base.mix64(key * np.uint64(0xC4CEB9FE1A85EC53) + label_or_none[where])
-        keys[:, s] = key.view(np.int64)
-    return rows, n_words, np.stack(whole, 1).view(np.int64), keys, bins
+        keys[:, k] = key.view(np.int64)
+    return keys
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in base.sized(batches, "text"):
         rows, n_words, whole, keys, bins = sketch(batch.column(1))
+        sizes = np.zeros(len(rows), np.int64)
+        for some, own in keys:
+            sizes[some] += own.shape[1]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat, at = np.empty(ends[-1], np.int64), ends[:-1].copy()
+        for some, own in keys:
+            flat[(at[some][:, None] + np.arange(own.shape[1])).ravel()] = own.ravel()
+            at[some] += own.shape[1]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(rows)), pa.array(n_words, pa.int32()), pa.array(np.ascontiguousarray(whole[:, 0])), pa.array(np.ascontiguousarray(whole[:, 1])),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * SKETCHES, pa.int32()), pa.array(keys.ravel())),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                 pa.array([b.tobytes() for b in bins], pa.binary()),
             ],
             ["doc_id", "n", "h1", "h2", "keys", "bins"],
@@ -157,77 +186,92 @@ def allowed(longer: int, similarity: float) -> int:
     return int((1 - similarity) * longer + 1e-9)
 
 
-def _bucket_pairs(ids: list[int], n: np.ndarray, bins: np.ndarray, open_: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs to verify of one bucket. open_: documents to compare with all others; None: leaders decide."""
+def _bins(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BINS).astype(np.int32)
 
-    def possible(k: int, others: np.ndarray) -> np.ndarray:
-        most = ((1 - similarity) * np.maximum(n[others], n[k]) + 1e-9).astype(np.int64)
-        apart = np.abs(bins[others] - bins[k]).sum(1)
-        return others[(np.abs(n[others] - n[k]) <= most) & (apart <= 2 * most)]
-
-    if open_ is not None:
-        for k in np.flatnonzero(open_):
-            for o in possible(k, np.delete(np.arange(len(ids)), k)):
-                yield min(ids[k], ids[o]), max(ids[k], ids[o])
-        return
-    leaders: list[int] = []
-    for k in range(len(ids)):
-        near = possible(k, np.array(leaders, np.int64)) if leaders else ()
-        if not len(near):
-            leaders.append(k)
-        for o in near:
-            yield ids[o], ids[k]
 
+def _bounded(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, n_a, n_b, bins_a, bins_b) whose lengths and bins allow them to be near, as (a, b)."""
+    for batch in batches:
+        if batch.num_rows:
+            n_a, n_b = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            most = ((1 - similarity) * np.maximum(n_a, n_b) + 1e-9).astype(np.int64)
+            fits = (np.abs(n_a - n_b) <= most) & (np.abs(_bins(batch.column(4)) - _bins(batch.column(5))).sum(1) <= 2 * most)
+            yield batch.select([0, 1]).filter(pa.array(fits))
 
-def _in_buckets(batches: Iterator[pa.RecordBatch], similarity: float, second: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, doc, n, bins, open) sorted by bucket and doc, to pairs."""
-    held: list[tuple] = []
 
-    def pairs() -> set[tuple[int, int]]:
-        rows = list({r[1]: r for r in held}.values())
-        bins = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(-1, BINS).astype(np.int64)
-        return set(_bucket_pairs([r[1] for r in rows], np.array([r[2] for r in rows]), bins, np.array([r[4] for r in rows]) if second else None, similarity))
+def _apart(rows: pa.RecordBatch, similarity: float) -> pa.RecordBatch:
+    """Pairs that may be near and aren't connected yet, of one block: (.., low, high, part, doc, root, n, bins).
 
-    def made(found: set[tuple[int, int]]) -> pa.RecordBatch:
-        own = sorted(found)
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64())], ["a", "b"])
+    A block is two parts of a bucket, or one; in a block of two, only pairs across count.
+    """
+    low, high, part, doc, root, n = (rows.column(k).to_numpy().astype(np.int64) for k in range(1, 7))
+    order = np.argsort(n, kind="stable")
+    part, doc, root, n, bins = part[order], doc[order], root[order], n[order], _bins(rows.column(7).take(pa.array(order)))
+    across = low[0] != high[0]
+    most = ((1 - similarity) * n + 1e-9).astype(np.int64)  # of pairs whose longer text this is
+    first = np.searchsorted(n, n - most)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in range(1, len(doc)):
+        others = np.arange(first[k], k)
+        others = others[(root[others] != root[k]) & ((part[others] != part[k]) | (not across)) & (doc[others] != doc[k])]
+        others = others[np.abs(bins[others] - bins[k]).sum(1) <= 2 * most[k]]
+        a.append(doc[others])
+        b.append(np.full(len(others), doc[k]))
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, low, high, part, doc, root, n, bins) sorted by block, to pairs."""
+    held: list[pa.RecordBatch] = []
+    found: list[pa.RecordBatch] = []
+    at = None
+
+    def block() -> None:
+        found.append(_apart(pa.Table.from_batches(held).combine_chunks().to_batches()[0], similarity))
+        held.clear()
 
-    found: set[tuple[int, int]] = set()
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and held[0][0] != row[0]:
-                found |= pairs()
-                held = []
-            held.append(row)
-        if len(found) > 50_000:
-            yield made(found)
-            found = set()
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+        for x, y in zip(cuts, cuts[1:]):
+            if held and at != key[x].tolist():
+                block()
+            at = key[x].tolist()
+            held.append(batch.slice(x, y - x))
+        if found:
+            yield pa.Table.from_batches(found).combine_chunks().to_batches(1 << 20)[0] if sum(f.num_rows for f in found) else found[0]
+            found.clear()
     if held:
-        found |= pairs()
-    yield made(found)
+        block()
+        yield from found
 
 
 def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows (lead, doc, part, text), the lead's own first in each part, to (a, b, near)."""
-    at, lead_words, table = None, [], {}
+    at, leads = None, []
     for batch in base.sized(batches, "text"):
         out = []
-        leads, docs, parts = (batch.column(k).to_pylist() for k in range(3))
-        for lead, doc, part, text in zip(leads, docs, parts, base.normalise(batch.column(3)).to_pylist()):
+        own, docs, parts = (batch.column(k).to_pylist() for k in range(3))
+        for lead, doc, part, text in zip(own, docs, parts, base.normalise(batch.column(3)).to_pylist()):
+            words = text.split()
             if lead == doc:
                 if at != (lead, part):
-                    at, lead_words = (lead, part), text.split()
-                    table = positions(lead_words)
+                    at, leads = (lead, part), []
+                leads.append((words, positions(words)))
                 continue
-            words = text.split()
-            most = allowed(max(len(words), len(lead_words)), similarity)
-            out.append((lead, doc, at == (lead, part) and within(lead_words, words, most, table)))
+            near = at == (lead, part) and bool(words) and any(first and within(first, words, allowed(max(len(words), len(first)), similarity), table) for first, table in leads)
+            out.append((lead, doc, near))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], ["a", "b", "near"])
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """(a, b, near) of pairs; only the texts they name are shuffled, while the pairs are few enough to broadcast."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("a")) / TOGETHER)
+    pairs = base.stash(pairs.select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part")), "pairs")
     need = pairs.select(F.col("a").alias("lead"), F.col("b").alias("doc"), "part").unionAll(pairs.select(F.col("a").alias("lead"), F.col("a").alias("doc"), "part").distinct())
     rows = texts.join(base.small(need), texts["doc_id"] == F.col("doc")).select("lead", "doc", "part", "text")
     rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", F.col("doc") != F.col("lead"), "doc")
@@ -249,39 +293,53 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, kept_id): every document that goes, with the one of its group that stays."""
+def _possible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that the marks of their documents don't rule out."""
+    pairs = base.stash(pairs, "pairs")
+    named = base.small(pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct())
+    own = base.stash(marks.join(named, "doc", "left_semi"), "marks")
+    a, b = (own.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}")) for x in "ab")
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b")
+    return base.mapped(rows, lambda batches: _bounded(batches, similarity), "a bigint, b bigint").distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, part_rows: int = PART_ROWS, stars: bool = True) -> DataFrame:
+    """(doc_id, kept_id): every document that goes, with the one of its group that stays.
+
+    Neither part_rows nor stars, which is whether there is a first round, changes the result.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     all_ = base.stash(base.mapped(texts, _sketches, "doc_id bigint, n int, h1 bigint, h2 bigint, keys array<bigint>, bins binary"), "sketches")
     equal = all_.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    rep_of = base.stash(all_.select("doc_id", "h1", "h2", "n").join(equal, ["h1", "h2", "n"]).groupBy("doc_id").agg(F.min("rep").alias("rep")), "equal")
+    rep_of = base.stash(all_.select("doc_id", "h1", "h2", "n").join(equal, ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), "equal")
     reps = all_.join(rep_of.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
-
-    buckets = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).groupBy("band", "key").agg(F.sort_array(F.collect_set("doc_id")).alias("members")).where("size(members) > 1")
-    buckets = base.stash(buckets.select(F.xxhash64("band", "key").alias("bucket"), "members"), "buckets")
-    few = buckets.where(F.size("members") <= ALL_PAIRS).select("members").distinct()
-    few = few.select("members", F.posexplode("members").alias("i", "a")).select("a", F.explode(F.expr("slice(members, i + 2, size(members))")).alias("b"))
-    large = buckets.where(F.size("members") > ALL_PAIRS).select("bucket", F.explode("members").alias("doc"))
     marks = reps.select(F.col("doc_id").alias("doc"), "n", "bins")
-    crowded = base.stash(large.join(marks, "doc").select("bucket", "doc", "n", "bins"), "crowded")
-
-    def from_buckets(rows: DataFrame, second: bool) -> DataFrame:
-        rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc")
-        return base.mapped(rows, lambda batches: _in_buckets(batches, similarity, second), "a bigint, b bigint")
-
-    led = from_buckets(crowded.withColumn("open", F.lit(False)), False)
-    checked = _verified(texts, base.stash(few.unionAll(led).distinct(), "pairs"), similarity)
-    near = checked.where("near").select("a", "b")
-    ends = checked.select(F.col("a").alias("doc"), "near").unionAll(checked.select(F.col("b").alias("doc"), "near"))
-    failed = base.stash(ends.groupBy("doc").agg(F.max("near").alias("any")).where("not any").select("doc").join(crowded.select("doc").distinct(), "doc", "left_semi"), "failed")
-    if not failed.isEmpty():
-        again = crowded.join(failed.withColumn("open", F.lit(True)), "doc", "left").select("bucket", "doc", "n", "bins", F.coalesce("open", F.lit(False)).alias("open"))
-        busy = again.where("open").select("bucket").distinct()
-        more = from_buckets(again.join(busy, "bucket", "left_semi"), True).distinct().join(checked, ["a", "b"], "left_anti")
-        near = near.unionAll(_verified(texts, base.stash(more, "pairs"), similarity).where("near").select("a", "b"))
-
-    roots = components(near)
-    out = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("kept_id"))
+
+    members = reps.select(F.explode("keys").alias("bucket"), F.col("doc_id").alias("doc"))
+    shared = members.groupBy("bucket").agg(F.min("doc").alias("lead"), F.max("doc").alias("last"), F.count("*").alias("rows")).where("lead <> last").drop("last")
+    members = base.stash(members.join(shared, "bucket"), "buckets")
+    near = checked = None
+    if stars:
+        pairs = members.where("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+        checked = _verified(texts, _possible(pairs, marks, similarity), similarity)
+        near = checked.where("near").select("a", "b")
+        members = members.where("rows > 2")
+    # documents that have texts equal to those of several others tie these together
+    several = rep_of.groupBy("doc_id").agg(F.count("*").alias("reps")).where("reps > 1").select("doc_id")
+    edges = rep_of.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    edges = edges if near is None else edges.unionAll(near)
+    roots = components(edges)
+    members = members.join(roots, members["doc"] == roots["node"], "left").select("bucket", "doc", F.coalesce("root", "doc").alias("root"))
+    split = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y").select("bucket", F.ceil(F.col("rows") / part_rows).cast("int").alias("parts"))
+    rows = members.join(split, "bucket").join(marks, "doc").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "doc", "root", "n", "bins")
+    blocks = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    more = base.mapped(blocks, lambda batches: _blocks(batches, similarity), "a bigint, b bigint").distinct()
+    more = base.stash(more if checked is None else more.join(checked, ["a", "b"], "left_anti"), "apart")
+    if not more.isEmpty():
+        roots = components(edges.unionAll(_verified(texts, more, similarity).where("near").select("a", "b")))
+
+    out = rep_of.join(roots, rep_of["rep"] == roots["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("kept_id"))
     return out.where("doc_id <> kept_id")
 
 

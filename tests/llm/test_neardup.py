@@ -83,15 +83,78 @@ def test_large_groups_of_copies(spark):
     assert set(gone) == set(range(1, 500)) and set(gone.values()) == {0}
 
 
-def test_leaders_and_the_second_round():
+@pytest.mark.parametrize("words", [5, 6, 7, 8, 10, 12, 15, 20, 30, 50, 120])
+def test_candidates_at_the_threshold(words):
+    """Pairs with as many edits as the threshold allows agree in a sketch nine times in ten at each length."""
     import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(words)
+    pairs = []
+    for _ in range(400):
+        a = vocabulary(rng, words)
+        b = list(a)
+        for at in rng.sample(range(words), neardup.allowed(words, 0.8)):
+            b[at] = f"n{rng.randrange(10**6)}"
+        pairs += [" ".join(a), " ".join(b)]
+    _, _, _, keys, _ = neardup.sketch(pa.array(pairs))
+    met = np.zeros(400, bool)
+    for some, own in keys:
+        if len(some):
+            assert len(some) == 800
+            met |= (own[::2] == own[1::2]).any(1)
+    assert met.mean() >= 0.9
+
+
+@pytest.fixture(scope="module")
+def chains():
+    """Copies that drift from one to the next, among documents that share much but not enough."""
+    rng = random.Random(21)
+    docs, passage = [], vocabulary(rng, 50)
+    for _ in range(12):
+        words = vocabulary(rng, 60) + passage
+        for _ in range(rng.choice((2, 9, 14))):
+            docs.append(list(words))
+            for at in rng.sample(range(len(words)), 14):
+                words[at] = f"c{rng.randrange(10**6)}"
+    docs += [vocabulary(rng, 25) + passage for _ in range(60)]
+    rng.shuffle(docs)
+    return docs
+
+
+def test_groups_do_not_depend_on_rounds_or_parts(spark, chains):
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(chains)], "doc_id bigint, text string").repartition(4)
+    results = [sorted(tuple(r) for r in neardup.near_duplicates(table, part_rows=parts, stars=stars).collect()) for parts, stars in ((500, True), (2, True), (6, False), (10**6, False))]
+    assert results[0] == results[1] == results[2] == results[3]
+    import numpy as np
+    import pyarrow as pa
+
+    _, _, _, keys, _ = neardup.sketch(pa.array([" ".join(w) for w in chains]))
+    own, parent = keys[0][1], list(range(len(chains)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
 
-    n = np.array([100, 100, 100, 100])
-    bins = np.zeros((4, neardup.BINS), np.int64)
-    bins[2, 0], bins[2, 1] = 30, -30
-    bins[3, 0], bins[3, 1] = 30, -31
-    assert set(neardup._bucket_pairs([1, 2, 3, 4], n, bins, None, 0.8)) == {(1, 2), (3, 4)}
-    assert set(neardup._bucket_pairs([1, 2, 3, 4], n, bins, np.array([0, 1, 0, 0], bool), 0.8)) == {(1, 2)}
+    for i in range(len(chains)):
+        for j in range(i):
+            if (own[i] == own[j]).any() and neardup.within(chains[i], chains[j], neardup.allowed(max(len(chains[i]), len(chains[j])), 0.8)):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert results[0] == sorted((k, find(k)) for k in range(len(chains)) if find(k) != k) and len(results[0]) > 30
+    # most documents share a bucket with a large part of the others, so that the parts matter
+    assert max(np.unique(own, return_counts=True)[1]) > 12
+
+
+def test_a_document_of_several_texts_is_near_to_what_any_of_them_is_near_to(spark):
+    rng = random.Random(4)
+    a, b, c = (vocabulary(rng, 40) for _ in range(3))
+    other = [*b[:20], "x", *b[21:]]
+    rows = [(5, a), (5, b), (2, other), (7, a), (9, c), (8, c), (5, c), (11, vocabulary(rng, 40))]
+    table = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id bigint, text string")
+    for parts in (1, 3):
+        assert sorted(tuple(r) for r in neardup.near_duplicates(table.repartition(parts)).collect()) == [(5, 2), (7, 2), (8, 2), (9, 2)]
 
 
 def test_components(spark):
