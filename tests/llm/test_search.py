@@ -4,9 +4,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from roadledger.llm import search
+from roadledger.llm import base, search
 
 
 def brute(docs, queries, k):
@@ -31,39 +32,22 @@ def brute(docs, queries, k):
     return out
 
 
-@pytest.mark.parametrize("shard, block, step", [(20_000, 64, 64), (37, 4, 2), (500, 3, 1)])
-def test_against_brute_force(spark, monkeypatch, shard, block, step):
-    monkeypatch.setattr(search, "SHARD_DOCS", shard)
-    monkeypatch.setattr(search, "BLOCK", block)
-    monkeypatch.setattr(search, "STEP", step)
+@pytest.mark.parametrize("shard, block, together", [(20_000, 64, 2000), (37, 4, 8), (200, 3, 1)])
+def test_against_brute_force(spark, shard, block, together):
     rng = random.Random(block)
     vocabulary = [f"t{int(rng.paretovariate(0.6))}" for _ in range(4000)]
     docs = [(d, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60)))) for d in range(900)]
     docs += [(1000 + d, docs[d][1]) for d in range(40)]  # ties
     queries = [(q, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 9)))) for q in range(60)]
     table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    # in one process, so that the patched sizes hold
-    import pyarrow as pa
-    from collections import Counter
-
-    terms = pa.array(sorted({w for _, t in queries for w in t.split()}))
-    index = {w: n for n, w in enumerate(terms.to_pylist())}
-    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["doc_id", "text"])
-    n = dict(zip(*(c.to_pylist() for c in next(search._count(iter([batch]), terms)).columns)))
-    held = np.array([n.get(t, 0) for t in range(len(terms))])
-    idf = np.log(1 + (n[-1] - held + 0.5) / (held + 0.5))
-    counts = [(q, Counter(t.split())) for q, t in queries]
-    own = [(q, np.array(sorted(index[w] for w in c)), np.array([c[w] for w in sorted(c, key=index.get)])) for q, c in counts]
-    got = []
-    for part in search._search(iter([batch.slice(0, 400), batch.slice(400)]), terms, idf, n[-2] / n[-1], own, 7):
-        rows = sorted(zip(*(c.to_pylist() for c in part.columns)), key=lambda r: (r[0], -r[2], r[1]))
-        for q, _ in queries:
-            got += [(q, place, d, s) for place, (_, d, s) in enumerate([r for r in rows if r[0] == q], 1)]
+    index = search.build(table, shard)
+    got = sorted(tuple(r) for r in search.search(index, spark.createDataFrame(queries, "item_id bigint, text string"), 7, block, together).collect())
     want = brute(docs, queries, 7)
-    assert [(q, p, d) for q, p, d, _ in got] == [(q, p, d) for q, p, d, _ in want]
+    assert [x[:3] for x in got] == [x[:3] for x in want]
     assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=2e-6)
-    spread = sorted(tuple(r) for r in search.top_k(table, spark.createDataFrame(queries, "item_id bigint, text string"), 7).collect())
-    assert [x[:3] for x in spread] == [x[:3] for x in want]
+    # the same index serves other queries
+    again = [(1, "t1 t2 t3 t5")]
+    assert [tuple(r)[:3] for r in search.search(index, spark.createDataFrame(again, "item_id bigint, text string"), 3).orderBy("place").collect()] == [x[:3] for x in brute(docs, again, 3)]
 
 
 def test_several_scans_of_queries(spark, monkeypatch):
@@ -74,15 +58,46 @@ def test_several_scans_of_queries(spark, monkeypatch):
     assert sorted((r["item_id"], r["place"], r["doc_id"]) for r in out) == [(0, 1, 1), (1, 1, 1), (1, 2, 2), (2, 1, 2), (4, 1, 1), (4, 2, 2)]
 
 
-def test_pruning_skips_intervals(monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 8)
-    monkeypatch.setattr(search, "STEP", 2)
+def test_lists_before_the_pivot_are_not_walked():
     size = 4000
     times = np.ones(size, np.int64)
     times[17] = 50
-    shard = search.Shard(np.arange(size), np.full(size, 100), np.arange(size), np.zeros(size, np.int64), times, np.array([1.0]), 100.0)
-    seen = []
-    real = search.ranges
-    monkeypatch.setattr(search, "ranges", lambda a, b: seen.append(int(b.sum())) or real(a, b))
-    assert [d for _, d in shard.top(np.array([0]), np.array([1]), 1, 0.0)] == [17]
-    assert sum(seen) < 100
+    doc, term = np.concatenate([np.arange(size), [17, 400]]), np.repeat([0, 1], [size, 2])
+    shard = search.Shard(np.arange(size), np.full(size, 100), doc, term, np.concatenate([times, [1, 1]]), np.array([0.5, 9.0]), 100.0, 8)
+    assert [d for _, d in shard.top(np.array([0, 1]), np.array([1, 1]), 2, 0.0)] == [17, 400]
+    assert shard.postings == size + 2 and shard.read <= 4
+
+
+def test_most_postings_of_benchmark_are_skipped():
+    """At sf0.1, as one shard: the results are those of scoring everything, with under half of the postings entering a score."""
+    import pyarrow.parquet as pq
+
+    docs = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"])
+    queries = [t for t in pq.read_table("/root/testdata/sf0.1/benchmark.parquet").column("text").to_pylist() if t]
+    counts = [search.Counter(base.normalise(pa.array([t]))[0].as_py().split()) for t in queries]
+    code = {w: n for n, w in enumerate(sorted({w for c in counts for w in c}))}
+    ids, lengths, doc, term, times = [], [], [], [], []
+    for batch in base.sized(docs.to_batches(), "text"):
+        size, text, own, n, words = search._postings(batch.column(1))
+        own = np.array([code.get(w, -1) for w in words.to_pylist()])[own]
+        doc.append(text[own >= 0] + sum(map(len, ids)))
+        term.append(own[own >= 0])
+        times.append(n[own >= 0])
+        ids.append(batch.column(0).to_numpy())
+        lengths.append(size)
+    ids, lengths, doc, term, times = map(np.concatenate, (ids, lengths, doc, term, times))
+    held = np.bincount(term, minlength=len(code))
+    idf = np.log(1 + ((lengths > 0).sum() - held + 0.5) / (held + 0.5))
+    shard = search.Shard(ids, lengths, doc, term, times, idf, lengths.sum() / (lengths > 0).sum())
+    for c in counts:
+        own, n = np.array([code[w] for w in sorted(c)]), np.array([c[w] for w in sorted(c)])
+        got = shard.top(own, n, 10, 0.0)
+        score = np.zeros(len(ids))
+        for t, many in zip(own, n):
+            at = slice(shard.first[t], shard.first[t + 1])
+            score[shard.doc[at]] += many * shard.impact[at]
+        score = np.round(score, 6)
+        order = np.lexsort((ids, -score))[:10]
+        assert [d for _, d in got] == ids[order].tolist() and np.allclose([x for x, _ in got], score[order], atol=2e-6)
+    print(shard.read / shard.postings, shard.probes / shard.postings)
+    assert shard.read < shard.postings / 2 and shard.probes < shard.postings
