@@ -1,24 +1,33 @@
-"""Substring dedup (1): windows of words named in prefix partitions, in place of suffix trees.
+"""Substring dedup (1): prefix-partitioned suffix trees over words.
 
-A repeat is a passage of at least `LEAST` white-space words that occurs in two documents or more.
+A repeat is a passage of at least `LEAST` white-space words that occurs at two places or more.
 Suffixes are partitioned by variable-length prefixes: a suffix's prefix reaches from its start to
 the end of the k-gram with the least hash among the k-grams of its first LEAST words, so suffixes
 that share LEAST words share that prefix, and one record per k-gram holds all suffixes that end
-their prefix there. Prefixes that occur in one document only can't hold a window of two documents
-and are dropped before any text moves. In a group of up to `GROUP_ROWS` records, windows of LEAST
-words are named by the prefix-doubling method of Karp, Miller and Rosenberg, as the nodes at depth
-LEAST of a suffix tree would tell them apart; no tree is built and nothing deeper is known. A larger
-group is split by the hash of whole windows, which are only counted. Overlapping windows of a
-document are one stretch, whichever documents each is shared with, so a stretch can be longer than
-any repeat in it and isn't a maximal repeat.
-
-`op1_substring_dedup` counts documents: passages that repeat inside one document only are none.
-`op1_substring_dedup_inside` counts occurrences, each a document and a start: a passage is a repeat
-if it occurs at two starts, be it of one document, and overlapping occurrences count as well, so a
-line that is said over and over is one stretch.
-
-Defined cases: null and short texts have no repeats; rows with the same doc_id are one document; a null doc_id is ignored; an empty
-table gives an empty result; other columns are ignored. Exact copies repeat as a whole.
+their prefix there. Prefixes that can't hold a repeat are dropped before any text moves. In a group
+of up to `GROUP_ROWS` records, the suffixes are ranked by prefix doubling to depth LEAST; those of
+one rank are the leaves under one node of the group's suffix tree at that depth. A larger group has
+its prefixes extended to LEAST words, where the prefix is the node itself and is only counted.
+
+What lies deeper is needed for suffixes alone that can begin a maximal repeat: those under a node
+whose leaves differ in the word before them. Each takes its text to the end of its run of repeated
+windows, beyond which no repeat goes; equal ones are counted together; and the suffix tree of each
+LEAST-word prefix is built from the sorted texts and their longest common prefixes. Its internal
+nodes, and leaves of several suffixes, are right-maximal; those whose leaves differ in the word
+before are the maximal repeats.
+
+Results: `repeats` merges overlapping windows of a document to stretches, whichever documents each
+window is shared with, so a stretch can be longer than any repeat in it. `op1_substring_dedup`
+counts documents: passages that repeat inside one document only are none. `op1_substring_dedup_inside`
+counts occurrences, each a document and a start: a passage is a repeat if it occurs at two starts, be
+it of one document, and overlapping occurrences count as well, so a line that is said over and over is
+one stretch. `op1_substring_dedup_maximal` has a row for each maximal repeat: its first occurrence,
+its length, how often it occurs and the last document with it; of occurrences of the same LEAST words
+in one document, those that begin inside the one counted before are left out.
+
+Defined cases: null and short texts have no repeats; rows with the same doc_id are one document; a null
+doc_id is ignored; an empty table gives an empty result; other columns are ignored. Exact copies repeat
+as a whole, as one maximal repeat. For maximal repeats, repeated rows of a document are one.
 """
 
 from __future__ import annotations
@@ -40,6 +49,12 @@ GROUP_ROWS = 2000
 #: Words that one step of subtree building works on, more only for a single group.
 STEP_WORDS = 400_000
 _PLACE = np.uint64((1 << 30) - 1)
+RECORD_COLUMNS = ["prefix", "more", "doc_id", "lo", "hi", "words", "ahead"]
+#: Runs of starts of repeated windows; without an end, a start under a node whose leaves differ in the word before.
+RUN = "doc_id bigint, start_word int, end_word int, first_doc_id bigint"
+SUFFIX_COLUMNS = ["key1", "key2", "rest1", "rest2", "doc_id", "start_word", "ahead", "words"]
+MAXIMAL_COLUMNS = ["doc_id", "start_word", "n_words", "n_occurrences", "last_doc_id"]
+MAXIMAL = "doc_id bigint, start_word int, n_words int, n_occurrences bigint, last_doc_id bigint"
 
 
 def anchors(word: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -96,12 +111,12 @@ def _records(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Recor
                 if len(text) < hi - lo + least:
                     continue  # of another row with this doc_id
                 if not one["crowded"]:
-                    out.append((one["prefix"], 0, doc, lo, hi, " ".join(text)))
+                    out.append((one["prefix"], 0, doc, lo, hi, " ".join(text), words[lo - 1] if lo else None))
                 else:
-                    out += [(*_whole(text[p - lo : p - lo + least]), doc, p, p, None) for p in range(lo, hi + 1)]
-        columns = list(zip(*out)) or [[]] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["prefix", "more", "doc_id", "lo", "hi", "words"])
+                    out += [(*_whole(text[p - lo : p - lo + least]), doc, p, p, None, words[p - 1] if p else None) for p in range(lo, hi + 1)]
+        columns = list(zip(*out)) or [[]] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], RECORD_COLUMNS)
 
 
 def _whole(words: list[str]) -> tuple[int, int]:
@@ -124,40 +139,52 @@ def names(codes: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
     return name, span
 
 
-def _subtree(group: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: pa.Array, least: int, inside: bool) -> list[np.ndarray]:
-    """Runs (doc, first start, end, first document) of suffixes under deep nodes of two documents, or with inside of two places."""
+def _subtree(group: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, texts: pa.Array, ahead: pa.Array, least: int, inside: bool, marked: bool) -> list[np.ndarray]:
+    """Runs (doc, first start, end, first document) of suffixes under nodes of two documents, or with inside of two places.
+
+    With marked, there follow the starts under nodes whose leaves differ in the word before, with end -1.
+    """
     lists = pc.split_pattern(texts, " ")
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    flat = lists.flatten()
+    codes = pa.concat_arrays([flat, ahead]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes, before = codes[: len(flat)], codes[len(flat) :]
     offsets -= offsets[0]
-    name, span = names(codes, least)
+    rank, span = names(codes, least)
     counts = hi - lo + 1
     record = np.repeat(np.arange(len(doc)), counts)
     start = ranges(offsets[:-1], counts)
-    size = int(name.max(initial=0)) + 1
-    node = name[start] * size + name[start + least - span]  # all of the first `least` words
-    _, node = np.unique(node, return_inverse=True)
-    _, node = np.unique(node * (int(group.max(initial=0)) + 1) + group[record], return_inverse=True)
-    own = doc[record]
-    least_doc, most_doc = np.full(node.max(initial=-1) + 1, np.iinfo(np.int64).max), np.full(node.max(initial=-1) + 1, np.iinfo(np.int64).min)
-    np.minimum.at(least_doc, node, own)
-    np.maximum.at(most_doc, node, own)
-    several, place = least_doc != most_doc, lo[record] + start - offsets[:-1][record]
+    place = lo[record] + start - offsets[:-1][record]
+    order = np.lexsort((rank[start + least - span], rank[start], group[record]))  # suffixes as the tree has them
+    keys = [x[order] for x in (group[record], rank[start], rank[start + least - span])]
+    new = np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]) if len(order) else np.empty(0, bool)
+    first = np.flatnonzero(new)  # of each node's leaves
+    if not len(first):
+        return [np.empty(0, np.int64)] * 4
+    own, at = doc[record][order], place[order]
+    several = (least_doc := np.minimum.reduceat(own, first)) != np.maximum.reduceat(own, first)
     if inside:
-        least_place, most_place = np.full(len(least_doc), np.iinfo(np.int64).max), np.full(len(least_doc), -1)
-        np.minimum.at(least_place, node, place)
-        np.maximum.at(most_place, node, place)
-        several |= least_place != most_place
+        several |= np.minimum.reduceat(at, first) != np.maximum.reduceat(at, first)
+    node = np.empty(len(order), np.int64)
+    node[order] = np.cumsum(new) - 1
     deep = several[node]
-    record, at, first = record[deep], place[deep], least_doc[node][deep]
-    if not len(record):
+    kept, starts, firsts = record[deep], place[deep], least_doc[node][deep]
+    if not len(kept):
         return [np.empty(0, np.int64)] * 4
-    new = np.flatnonzero(np.concatenate([[True], (record[1:] != record[:-1]) | (at[1:] != at[:-1] + 1)]))
-    last = np.append(new[1:], len(at)) - 1
-    return [doc[record[new]], at[new], at[last] + least, np.minimum.reduceat(first, new)]
-
-
-def _trees(batches: Iterator[pa.RecordBatch], least: int, inside: bool) -> Iterator[pa.RecordBatch]:
+    begin = np.flatnonzero(np.concatenate([[True], (kept[1:] != kept[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    end = np.append(begin[1:], len(starts)) - 1
+    out = [doc[kept[begin]], starts[begin], starts[end] + least, np.minimum.reduceat(firsts, begin)]
+    if marked:
+        word = np.where(place > lo[record], codes[start - 1], before[record])[order]
+        diverse = (low := np.minimum.reduceat(word, first)) != np.maximum.reduceat(word, first)
+        diverse |= low < 0  # the start of a document is like nothing else
+        mark = np.flatnonzero(diverse[node] & deep)
+        none = np.full(len(mark), -1)
+        out = [np.concatenate(x) for x in zip(out, (doc[record[mark]], place[mark], none, none))]
+    return out
+
+
+def _trees(batches: Iterator[pa.RecordBatch], least: int, inside: bool, marked: bool) -> Iterator[pa.RecordBatch]:
     """Records sorted by prefix to runs, whole groups at a time."""
     schema = ["doc_id", "start_word", "end_word", "first_doc_id"]
 
@@ -168,7 +195,9 @@ def _trees(batches: Iterator[pa.RecordBatch], least: int, inside: bool) -> Itera
         doc, lo, hi = (joint.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "lo", "hi"))
         texts = joint.column("words").combine_chunks()
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        a, b, c, d = _subtree(group, doc, lo, hi, texts, least, inside)
+        ahead = joint.column("ahead").combine_chunks()
+        ahead = ahead.chunk(0) if isinstance(ahead, pa.ChunkedArray) else ahead
+        a, b, c, d = _subtree(group, doc, lo, hi, texts, ahead, least, inside, marked)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d)], schema)
 
     held, words = [], 0
@@ -189,35 +218,140 @@ def _trees(batches: Iterator[pa.RecordBatch], least: int, inside: bool) -> Itera
         yield built(held)
 
 
-def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group_rows: int = GROUP_ROWS, inside: bool = False) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, first_doc_id): stretches of each document that occur in another, or with inside at another place.
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
 
-    first_doc_id is the smallest document that a part of the stretch occurs in; where it is the
-    document itself, this is the occurrence to keep.
-    """
+
+def _runs(texts: DataFrame, least: int, gram: int, group_rows: int, inside: bool, marked: bool = False) -> DataFrame:
     gram = min(gram, least)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     all_ = base.stash(base.mapped(texts, lambda batches: _anchors(batches, least, gram), "prefix bigint, doc_id bigint, at int, lo int, hi int"), "prefixes")
     ends = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("at").alias("c"), F.max("at").alias("d")]
     shared = all_.groupBy("prefix").agg(*ends, F.count("*").alias("rows")).where("a <> b or c <> d" if inside else "a <> b").select("prefix", (F.col("rows") > group_rows).alias("crowded"))
     own = all_.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set(F.struct("prefix", "lo", "hi", "crowded")).alias("found"))
-    records = base.mapped(texts.join(own, "doc_id").select("doc_id", "text", "found"), lambda batches: _records(batches, least), "prefix bigint, more bigint, doc_id bigint, lo int, hi int, words string")
+    records = base.mapped(texts.join(own, "doc_id").select("doc_id", "text", "found"), lambda batches: _records(batches, least), "prefix bigint, more bigint, doc_id bigint, lo int, hi int, words string, ahead string")
     records = base.stash(records, "records")
 
     few = records.where("words is not null").repartition("prefix").sortWithinPartitions("prefix")
-    runs = base.mapped(few, lambda batches: _trees(batches, least, inside), "doc_id bigint, start_word int, end_word int, first_doc_id bigint")
-    crowd = records.where("words is null").select("prefix", "more", "doc_id", "lo")
-    deep = crowd.groupBy("prefix", "more").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("b"), F.min("lo").alias("c"), F.max("lo").alias("d"))
+    runs = base.mapped(few, lambda batches: _trees(batches, least, inside, marked), RUN)
+    crowd = records.where("words is null").select("prefix", "more", "doc_id", "lo", "ahead")
+    deep = crowd.groupBy("prefix", "more").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("b"), F.min("lo").alias("c"), F.max("lo").alias("d"), (F.max(F.col("ahead").isNull()) | (F.min("ahead") != F.max("ahead"))).alias("diverse"))
     deep = deep.where("first_doc_id <> b or c <> d" if inside else "first_doc_id <> b").drop("b", "c", "d")
-    runs = runs.unionAll(crowd.join(deep, ["prefix", "more"]).select("doc_id", F.col("lo").alias("start_word"), (F.col("lo") + least).alias("end_word"), "first_doc_id"))
+    leaves = crowd.join(deep, ["prefix", "more"])
+    runs = runs.unionAll(leaves.select("doc_id", F.col("lo").alias("start_word"), (F.col("lo") + least).alias("end_word"), "first_doc_id"))
+    if marked:
+        none = F.lit(-1)
+        runs = runs.unionAll(leaves.where("diverse").select("doc_id", F.col("lo").alias("start_word"), none.alias("end_word"), none.cast("bigint").alias("first_doc_id")))
+    return runs
 
+
+def _stretches(runs: DataFrame, overlap: int) -> DataFrame:
+    """Runs of a document that overlap by this many words, as one."""
     by_doc = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     before = F.max("end_word").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
-    steps = runs.withColumn("new", F.when(F.col("start_word") < before, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    out = steps.groupBy("doc_id", "stretch").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
+    steps = runs.withColumn("new", F.when(F.col("start_word") <= before - overlap, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    return steps.groupBy("doc_id", "stretch").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
+
+
+def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group_rows: int = GROUP_ROWS, inside: bool = False) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words, first_doc_id): stretches of each document that occur in another, or with inside at another place.
+
+    first_doc_id is the smallest document that a part of the stretch occurs in; where it is the
+    document itself, this is the occurrence to keep.
+    """
+    out = _stretches(_runs(_texts(docs), least, gram, group_rows, inside), 1)
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
+def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, runs, starts) to suffixes from starts to the ends of their runs, keyed by their first words."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
+    for batch in base.sized(batches, "text", 1 << 18):
+        for doc, text, runs, starts in zip(*(c.to_pylist() for c in batch.columns)):
+            words, out, counted = text.split(), [], {}
+            runs = sorted((r["start_word"], r["end_word"]) for r in runs)
+            k = 0
+            for p in sorted(starts):
+                while runs[k][1] - least < p:
+                    k += 1
+                if runs[k][1] > len(words):
+                    break  # of another row with this doc_id
+                key = _whole(words[p : p + least])
+                if p - counted.get(key, -least) >= least:
+                    counted[key] = p
+                    rest = words[p : runs[k][1]]
+                    out.append((*key, *_whole(rest), doc, p, words[p - 1] if p else None, " ".join(rest)))
+                if len(out) >= 500:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], SUFFIX_COLUMNS)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], SUFFIX_COLUMNS)
+
+
+def tree(leaves: list[list[int]]) -> Iterator[tuple[int, int, int]]:
+    """(depth, first leaf, last leaf) of the internal nodes of the suffix tree whose leaves are these sorted sequences."""
+
+    def common(a: list[int], b: list[int]) -> int:
+        same = np.asarray(a[: len(b)]) == np.asarray(b[: len(a)])
+        return len(same) if same.all() else int(same.argmin())
+
+    stack: list[tuple[int, int]] = []  # (depth, first leaf) of the nodes that are open
+    for k in range(1, len(leaves) + 1):
+        depth, first = (common(leaves[k - 1], leaves[k]) if k < len(leaves) else 0), k - 1
+        while stack and stack[-1][0] > depth:
+            deeper, first = stack.pop()
+            yield deeper, first, k - 1
+        if depth and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+
+
+def _maximal(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key1, key2, words, n, first, last_doc, low, high, start) sorted by key, to maximal repeats."""
+    held: list[tuple] = []
+
+    def group() -> list[tuple]:
+        code: dict[str, int] = {}
+        rows = sorted(([code.setdefault(w, len(code)) for w in r[2].split(" ")], *r[3:]) for r in held)
+        nodes = {(d, a, b) for d, a, b in tree([r[0] for r in rows]) if d >= least}
+        inner = {(d, b) for d, _, b in nodes} | {(d, a) for d, a, _ in nodes}
+        nodes |= {(len(r[0]), k, k) for k, r in enumerate(rows) if r[1] > 1 and (len(r[0]), k) not in inner}
+        out = []
+        for depth, a, b in nodes:
+            own = rows[a : b + 1]
+            lows = [r[4] for r in own if r[4] is not None]
+            if any(r[6] for r in own) or min(lows) != max(r[5] for r in own if r[5] is not None):
+                doc, at = min((r[2]["doc_id"], r[2]["start_word"]) for r in own)
+                out.append((doc, at, depth, sum(r[1] for r in own), max(r[3] for r in own)))
+        return out
+
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    for batch in base.sized(batches, "words"):
+        out = []
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and held[0][:2] != row[:2]:
+                out += group()
+                held.clear()
+            held.append(row)
+        columns = list(zip(*out)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], MAXIMAL_COLUMNS)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*group())) or [[]] * 5, kinds)], MAXIMAL_COLUMNS)
+
+
+def maximal_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """(doc_id, start_word, n_words, n_occurrences, last_doc_id) of each maximal repeat: its first occurrence, length, number and last document."""
+    texts = _texts(docs)
+    runs = base.stash(_runs(texts, least, gram, group_rows, True, True), "runs")
+    own = _stretches(runs.where("end_word >= 0"), least - 1).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("runs"))
+    starts = runs.where("end_word < 0").groupBy("doc_id").agg(F.collect_set("start_word").alias("starts"))
+    rows = texts.distinct().join(own, "doc_id").join(starts, "doc_id").select("doc_id", "text", "runs", "starts")
+    suffixes = base.mapped(rows, lambda batches: _suffixes(batches, least), "key1 bigint, key2 bigint, rest1 bigint, rest2 bigint, doc_id bigint, start_word int, ahead string, words string")
+    leaves = suffixes.groupBy("key1", "key2", "rest1", "rest2").agg(
+        F.min("words").alias("words"), F.count("*").alias("n"), F.min(F.struct("doc_id", "start_word")).alias("first"), F.max("doc_id").alias("last_doc"), F.min("ahead").alias("low"), F.max("ahead").alias("high"), F.max(F.col("ahead").isNull()).alias("begins")
+    )
+    leaves = leaves.drop("rest1", "rest2").repartition("key1", "key2").sortWithinPartitions("key1", "key2")
+    return base.mapped(leaves, lambda batches: _maximal(batches, least), MAXIMAL)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(base.table(spark, sf_dir, "documents"))
 
@@ -226,6 +360,10 @@ def op1_substring_dedup_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(base.table(spark, sf_dir, "documents"), inside=True)
 
 
+def op1_substring_dedup_maximal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maximal_repeats(base.table(spark, sf_dir, "documents"))
+
+
 ORACLE = {
     "op1_substring_dedup": r"""
 WITH d AS (SELECT DISTINCT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
@@ -238,4 +376,4 @@ SELECT doc_id, CAST(min(p) AS INTEGER) AS start_word, CAST(max(p) + 50 AS INTEGE
 FROM u GROUP BY doc_id, k"""
 }
 ORACLE["op1_substring_dedup_inside"] = ORACLE["op1_substring_dedup"].replace("HAVING min(doc_id) <> max(doc_id)", "HAVING min(doc_id) <> max(doc_id) OR min(p) <> max(p)")
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op1_substring_dedup_inside": op1_substring_dedup_inside}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op1_substring_dedup_inside": op1_substring_dedup_inside, "op1_substring_dedup_maximal": op1_substring_dedup_maximal}

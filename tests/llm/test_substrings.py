@@ -111,3 +111,64 @@ def test_repeats_inside_one_document_are_found_where_they_count(spark, group_row
     got = sorted(tuple(r) for r in substrings.repeats(table, least=7, gram=3, group_rows=group_rows, inside=True).collect())
     assert got == brute_inside(docs, 7) and (100, 0, 27, 27, 100) in got
     assert len({r[0] for r in got}) > len({r[0] for r in brute(docs, 7)}) + 10
+
+
+def brute_maximal(docs, least):
+    """Maximal repeats, by comparing every two counted places of the same first words."""
+    words = {d: t.split() for d, t in docs}
+    where = {}
+    for d, w in sorted(words.items()):
+        for p in range(len(w) - least + 1):
+            own = where.setdefault(tuple(w[p : p + least]), [])
+            if not own or own[-1][0] != d or p - own[-1][1] >= least:
+                own.append((d, p))
+    total = {}
+    for d, w in words.items():
+        for p in range(len(w) - least + 1):
+            total[tuple(w[p : p + least])] = total.get(tuple(w[p : p + least]), 0) + 1
+    out = set()
+    for key, places in where.items():
+        if total[key] < 2:
+            continue
+
+        def end(d, p):  # of the windows in a row that occur twice
+            while p + least <= len(words[d]) and total[tuple(words[d][p : p + least])] > 1:
+                p += 1
+            return p + least - 1
+
+        rests = [tuple(words[d][p : end(d, p)]) for d, p in places]
+        depths = set()
+        for a in range(len(places)):
+            for b in range(a):
+                n = 0
+                while n < min(len(rests[a]), len(rests[b])) and rests[a][n] == rests[b][n]:
+                    n += 1
+                depths.add(rests[a][:n])
+        for passage in depths:
+            own = [pl for pl, r in zip(places, rests) if r[: len(passage)] == passage]
+            left = {words[d][p - 1] if p else (d, p) for d, p in own}
+            if len(left) > 1 or any(p == 0 for _, p in own):
+                out.add((*min(own), len(passage), len(own), max(own)[0]))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group_rows", [10_000, 3, 0])
+def test_maximal_repeats(spark, group_rows):
+    rng = random.Random(group_rows + 1)
+    passages = [[rng.choice("abcdefgh") for _ in range(rng.randrange(5, 25))] for _ in range(10)]
+    docs = []
+    for d in range(70):
+        words = []
+        while len(words) < 40:
+            words += rng.choice(passages) if rng.random() < 0.4 else [rng.choice("abcdefghijklmnopq") for _ in range(rng.randrange(9))]
+        docs.append((d, " ".join(words[: rng.randrange(3, 60)])))
+    docs += [(100, "so it goes " * 20), (101, docs[0][1]), (102, docs[0][1]), (103, "x " * 45), (104, f"y {docs[3][1]}")]
+    table = spark.createDataFrame([*docs, docs[5]], "doc_id bigint, text string").repartition(5)
+    got = sorted(tuple(r) for r in substrings.maximal_repeats(table, least=7, gram=3, group_rows=group_rows).collect())
+    assert got == brute_maximal(docs, 7) and len(got) > 40 and max(r[2] for r in got) > 20
+
+
+def test_a_tree_has_a_node_for_each_branching():
+    leaves = sorted([[1, 2, 3], [1, 2, 3, 4], [1, 2, 5], [2], [2, 7], [2, 7, 7]])
+    assert sorted(substrings.tree(leaves)) == [(1, 3, 5), (2, 0, 2), (2, 4, 5), (3, 0, 1)]
+    assert list(substrings.tree([])) == [] == list(substrings.tree([[1, 2]]))
