@@ -28,7 +28,7 @@ from roadledger.llm import base
 
 #: Labelled documents that are trained on at most.
 TRAIN_DOCS = 6000
-BITS, ORDERS, SIZE = 20, (3, 5), 4
+BITS, ORDERS, SIZE = 20, (3, 4, 5), 32
 PASSES, RATE, SCALE = 5, 0.3, 30.0
 #: Texts whose features are made together while training; bounds the driver's memory.
 STEP_TEXTS = 250
@@ -67,30 +67,35 @@ class Model:
             out.append((slot.astype(np.int32), (SCALE * weight / max(1.0, weight.sum())).astype(np.float32)))
         return out
 
+    def slopes(self, own: np.ndarray, weight: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The log likelihood's derivatives by a document's own vectors, the output weights and the biases."""
+        mean = weight @ own
+        wrong = label - 1 / (1 + np.exp(-(mean @ self.output + self.bias)))
+        return weight[:, None] * (self.output @ wrong).astype(weight.dtype)[None, :], np.outer(mean, wrong), wrong
+
     def learn(self, texts: list[str], labels: np.ndarray, passes: int = PASSES, seed: int = 5) -> None:
         """labels: (quality, toxic) of each text."""
         bags = [bag for k in range(0, len(texts), STEP_TEXTS) for bag in self.bags(texts[k : k + STEP_TEXTS])]
         rng = np.random.default_rng(seed)
-        seen = np.full(self.vectors.shape, 1e-4, np.float32)
+        seen = np.full(len(self.vectors), 1e-4, np.float32)  # one adaptive rate for each vector
         seen_out, seen_bias = np.full(self.output.shape, 1e-2), np.full(2, 1e-2)
         self.output = rng.normal(0, 0.5, self.output.shape)
         for _ in range(passes):
             for k in rng.permutation(len(bags)):
                 slot, weight = bags[k]
                 own = self.vectors[slot]
-                mean = weight @ own
-                wrong = labels[k] - 1 / (1 + np.exp(-(mean @ self.output + self.bias)))
-                step = np.outer(mean, wrong) - 1e-4 * self.output
+                change, step, wrong = self.slopes(own, weight, labels[k])
+                step -= 1e-4 * self.output
                 seen_out += step * step
                 seen_bias += wrong * wrong
-                back = self.output @ wrong
                 self.output += 0.1 * step / np.sqrt(seen_out)
                 self.bias += 0.1 * wrong / np.sqrt(seen_bias)
                 if len(slot):
-                    change = weight[:, None] * back[None, :].astype(np.float32)
-                    seen[slot] += change * change
-                    self.vectors[slot] = own + np.float32(RATE) * change / np.sqrt(seen[slot])
-        untouched = seen.max(1) <= np.float32(1e-4)
+                    seen[slot] += (change * change).mean(1)
+                    self.vectors[slot] = own + np.float32(RATE) * change / np.sqrt(seen[slot])[:, None]
+        untouched = np.ones(len(seen), bool)
+        for slot, _ in bags:
+            untouched[slot] = False
         self.table = (SCALE * self.vectors @ self.output).astype(np.float32)
         self.table[untouched] = 0
         self.vectors = np.empty((0, SIZE), np.float32)  # only the product goes to the executors

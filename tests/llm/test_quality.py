@@ -40,3 +40,40 @@ def test_the_product_is_the_average():
         want = mean @ model.output + model.bias
         assert np.allclose(model.odds(pa.array([text]))[0], want, atol=1e-3)
     assert (model.odds(pa.array(texts))[:, 0] > 0).tolist() == [True, False, True, False]
+
+
+def test_slopes_against_differences():
+    rng = np.random.default_rng(2)
+    model = quality.Model()
+    model.output, model.bias = rng.normal(0, 1, model.output.shape), rng.normal(0, 1, 2)
+    own, weight, label = rng.normal(0, 1, (5, quality.SIZE)), rng.random(5), np.array([1.0, 0.0])
+
+    def likelihood():
+        odds = weight @ own @ model.output + model.bias
+        return float((label * odds - np.logaddexp(0, odds)).sum())
+
+    for slope, array in zip(model.slopes(own, weight, label), (own, model.output, model.bias)):
+        for at in [tuple(rng.integers(0, n) for n in array.shape) for _ in range(12)]:
+            was = array[at]
+            array[at] = was + 1e-5
+            up = likelihood()
+            array[at] = was - 1e-5
+            down = likelihood()
+            array[at] = was
+            assert abs((up - down) / 2e-5 - slope[at]) < 1e-6
+
+
+def test_the_query_against_one_text_at_a_time(spark):
+    """Every row of the query is what the bags of its own text give."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = base.table(spark, sf, "documents"), base.table(spark, sf, "labels")
+    model = quality.train(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = quality.op8_quality(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    for r in rows:
+        (slot, weight), = quality.Model.bags([texts[r["doc_id"]] or ""])
+        odds = (weight / quality.SCALE).astype(float) @ model.table[slot] + model.bias
+        chance = 1 / (1 + np.exp(-odds))
+        assert np.allclose([r["p_quality"], r["p_toxic"]], chance, atol=1e-3)
+        assert r["kept"] == (r["p_quality"] >= 0.5 and r["p_toxic"] <= 0.5)
