@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadledger import schemas, storage
@@ -103,9 +103,10 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.image_summary(_dets(spark, sf_dir).withColumn("label", label), fixtures.frames(spark, sf_dir))
 
 
-def _dets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections as a table of their own, as they are in production, for plans with several branches."""
-    return storage.written(fixtures.detections(spark, sf_dir), "detections")
+def _dets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Detections, or some of their columns, as a table of their own, as they are in production, for plans with several branches."""
+    dets = fixtures.detections(spark, sf_dir)
+    return storage.written(dets.select(*columns) if columns else dets, "detections")
 
 
 # --- the ledger ---
@@ -136,6 +137,17 @@ def fine_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer.select("plate", F.to_json(F.struct("fines", "total", "vehicle")).alias("answer"))
 
 
+@query(f"""WITH own AS (SELECT *, concat('/evidence/', split_part(image_path, '/', 2)) AS image FROM fines WHERE plate = upper(trim(' dl02ab0001 '))),
+total AS (SELECT {_DUE} AS total, count(*) AS n_fines FROM own)
+SELECT 'DL02AB0001' AS plate, total, n_fines, true AS recognized, 'Delhi' AS state, '02' AS rto_code, 'AB' AS series, '0001' AS number, violation, amount, status, timestamp AS time, image FROM total LEFT JOIN own ON true""")
+def fine_lookup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer to one lookup with a row for each fine, and one row if there is none."""
+    answer = ledger.lookup(fixtures.fines(spark, sf_dir), " dl02ab0001 ", dims.states(spark), dims.districts(spark))
+    vehicle = [F.col(f"vehicle.{c}") for c in ("recognized", "state", "rto_code", "series", "number")]
+    rows = answer.select("plate", "total", F.size("fines").cast("bigint").alias("n_fines"), *vehicle, F.explode_outer("fines").alias("fine"))
+    return rows.select("*", "fine.*").drop("fine")
+
+
 @query(f"SELECT id, violation, {_AMOUNT} AS amount FROM fines")
 def fine_amount_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.with_amount(fixtures.fines(spark, sf_dir).select("id", "violation"), dims.amounts(spark)).select("id", "violation", "amount")
@@ -285,17 +297,21 @@ def crop_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.detections(spark, sf_dir).select("video_id", "frame_idx", "det_id", geometry.crop_origin(F.col("x1") - 300).alias("left_side"), geometry.crop_origin(F.col("y1") - 103).alias("top_side"))
 
 
-@query(f"SELECT a.video_id, a.frame_idx, a.det_id, b.det_id AS other_id, round({_IOU}, 9) AS iou FROM detections a JOIN detections b ON a.video_id = b.video_id AND a.frame_idx = b.frame_idx AND a.det_id < b.det_id")
+@query(f"""WITH l AS (SELECT video_id, frame_idx, list(struct_pack(det_id, x1, y1, x2, y2)) AS l FROM detections GROUP BY ALL), p AS (SELECT video_id, frame_idx, l, unnest(l) AS a FROM l), q AS (SELECT video_id, frame_idx, a, unnest(l) AS b FROM p)
+SELECT video_id, frame_idx, a.det_id AS det_id, b.det_id AS other_id, round({_IOU}, 9) AS iou FROM q WHERE a.det_id < b.det_id""")
 def box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dets = _dets(spark, sf_dir).select("video_id", "frame_idx", "det_id", *geometry.SIDES)
+    dets = _dets(spark, sf_dir, "video_id", "frame_idx", "det_id", *geometry.SIDES)
     other = dets.select(F.col("video_id").alias("v"), F.col("frame_idx").alias("f"), F.col("det_id").alias("other_id"), *(F.col(s).alias(f"b_{s}") for s in geometry.SIDES))
     pairs = dets.join(other, (F.col("video_id") == F.col("v")) & (F.col("frame_idx") == F.col("f")) & (F.col("det_id") < F.col("other_id")))
     return pairs.select("video_id", "frame_idx", "det_id", "other_id", F.round(geometry.overlap(geometry.box(), geometry.box("b_")), 9).alias("iou"))
 
 
-@query("SELECT a.video_id, a.frame_idx, a.det_id, b.det_id AS other_id, round(sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)), 9) AS distance FROM detections a JOIN detections b ON a.video_id = b.video_id AND a.frame_idx + 1 = b.frame_idx AND a.lane = b.lane AND a.label = 'Plate' AND b.label = 'Plate'")
+@query("""WITH b AS (SELECT video_id, frame_idx, lane, list(struct_pack(det_id, x1, y1)) AS l FROM detections WHERE label = 'Plate' GROUP BY ALL),
+n AS (SELECT *, lead(frame_idx) OVER w AS next_frame, lead(l) OVER w AS m FROM b WINDOW w AS (PARTITION BY video_id, lane ORDER BY frame_idx)),
+p AS (SELECT video_id, frame_idx, m, unnest(l) AS a FROM n WHERE next_frame = frame_idx + 1), q AS (SELECT video_id, frame_idx, a, unnest(m) AS b FROM p)
+SELECT video_id, frame_idx, a.det_id AS det_id, b.det_id AS other_id, round(sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.y1 - b.y1) * (a.y1 - b.y1)), 9) AS distance FROM q""")
 def box_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = _dets(spark, sf_dir).where("label = 'Plate'").select("video_id", "frame_idx", "det_id", "lane", "x1", "y1")
+    boxes = _dets(spark, sf_dir, "video_id", "frame_idx", "det_id", "label", "lane", "x1", "y1").where("label = 'Plate'").drop("label")
     later = boxes.select(F.col("video_id").alias("v"), (F.col("frame_idx") - 1).alias("f"), F.col("lane").alias("l"), F.col("det_id").alias("other_id"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
     pairs = boxes.join(later, (F.col("video_id") == F.col("v")) & (F.col("frame_idx") == F.col("f")) & (F.col("lane") == F.col("l")))
     return pairs.select("video_id", "frame_idx", "det_id", "other_id", F.round(geometry.distance(F.col("x1"), F.col("y1"), F.col("bx"), F.col("by")), 9).alias("distance"))
@@ -331,6 +347,30 @@ def image_fines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fined.select("video_id", "frame_idx", "plate", "violation", "amount", path.alias("image_path"))
 
 
+@query(f"""WITH {_IMAGES}, {_FREE}, {_NEAR}, {_STREAK}, {_LANES},
+s AS (SELECT f.video_id, f.frame_idx, {_TEXT} AS plate, unnest(list_value(CASE WHEN bare.video_id IS NOT NULL THEN 'no_helmet' END, CASE WHEN triple THEN 'triple_riding' END)) AS violation
+ FROM frames f LEFT JOIN agg USING (video_id, frame_idx) LEFT JOIN bare USING (video_id, frame_idx) LEFT JOIN pl USING (video_id, frame_idx)),
+held AS (SELECT s.*, p.plate, row_number() OVER (PARTITION BY s.video_id, s.track_id, s.violation ORDER BY s.frame_idx) AS k FROM streaks s JOIN lane_plates p ON p.video_id = s.video_id AND p.frame_idx = s.frame_idx AND p.lane = s.track_id WHERE streak >= 5 AND plate <> ''),
+told AS (SELECT plate, violation, video_id, frame_idx, 0 AS place FROM s WHERE violation IS NOT NULL AND plate <> '' UNION ALL SELECT plate, violation, video_id, frame_idx, track_id FROM held WHERE k = 1)
+SELECT upper(trim(plate)) AS plate, violation, {_AMOUNT} AS amount, 'unpaid' AS status, TIMESTAMP '2024-01-02 03:04:05' AS time, concat('/evidence/', plate, '_', violation, '_', video_id, '_', frame_idx, '_', place, '.jpg') AS image, true AS own_id FROM told""")
+def record_fines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of images and of videos recorded in one ledger, and shown as a lookup does; lanes stand in for tracks."""
+    import datetime
+
+    path, now = storage.new_path(spark, "ledger"), datetime.datetime(2024, 1, 2, 3, 4, 5)
+    ledger_table.create(spark, path)
+    amounts = dims.amounts(spark)
+    dets = _dets(spark, sf_dir)
+    texts = _lane_plates(dets).select("video_id", "frame_idx", F.col("lane").alias("track_id"), "plate")
+    held = _lane_streaks(dets).where(F.col("streak") >= Config.streak).join(texts, ["video_id", "frame_idx", "track_id"])
+    evidence = names.evidence_path(*(F.col(c) for c in ("plate", "violation", "video_id", "frame_idx", "track_id")))
+    for found in (image_fines(spark, sf_dir), confirm.first_reports(held, "track_id", "violation").withColumn("image_path", evidence)):
+        video.record(found, path, amounts, now)
+    fines = ledger_table.read(spark, path)
+    once = fines.groupBy("id").agg((F.count("*") == 1).alias("own_id"))
+    return ledger.api_view(fines).join(once, "id").drop("id")
+
+
 @query(f"WITH pl AS (SELECT video_id, frame_idx, max_by(ocr_texts, det_id) AS ocr_texts FROM detections WHERE label = 'Plate' GROUP BY ALL) SELECT video_id, frame_idx, {_TEXT} AS plate FROM pl")
 def last_plate_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections.image_plates(fixtures.detections(spark, sf_dir))
@@ -394,8 +434,9 @@ def frame_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT video_id, frame_idx, total FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS total FROM frames) WHERE frame_idx % 5 = 0 OR frame_idx = total")
 def progress_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = fixtures.frames(spark, sf_dir).withColumn("total", F.count("*").over(Window.partitionBy("video_id")))
-    return frames.where("frame_idx % 5 = 0 OR frame_idx = total").select("video_id", "frame_idx", "total")
+    frames = fixtures.frames(spark, sf_dir)
+    total = frames.groupBy("video_id").agg(F.count("*").alias("total"))
+    return frames.join(total, "video_id").where("frame_idx % 5 = 0 OR frame_idx = total").select("video_id", "frame_idx", "total")
 
 
 @query("SELECT video_id, frame_idx, CASE WHEN w > 1280 THEN 1280 ELSE w END AS width, CASE WHEN w > 1280 THEN CAST(floor(h * (1280.0e0 / w)) AS BIGINT) ELSE h END AS height FROM (SELECT video_id, frame_idx, 640 + (frame_idx % 7) * 331 AS w, 360 + (frame_idx % 5) * 217 AS h FROM frames)")
@@ -433,9 +474,10 @@ def video_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cli_video_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the plate text of the other front end: the first fragment, letters and digits of any script."""
+    """The same with the plate text of the other front end: the first fragment read with confidence, letters and digits of any script."""
     dets = _dets(spark, sf_dir)
-    text = plates.cleaned_unicode(F.get("ocr_texts", F.lit(0)))
+    sure = F.filter(F.arrays_zip("ocr_texts", "ocr_confs"), lambda f: f["ocr_confs"] > Config.ocr_confidence)
+    text = plates.cleaned_unicode(F.get(sure, F.lit(0))["ocr_texts"])
     tracked = storage.written(video.tracks(dets, CALIBRATED, text), "tracks")
     return video.violations(dets, dims.amounts(spark), CALIBRATED, tracked)
 

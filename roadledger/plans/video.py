@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from roadledger.config import Config
 from roadledger.functions import names, plates
 from roadledger.operators import confirm, detections, ledger, tracking
+from roadledger.sources import ledger as ledger_table
 
 SIDES = ("x1", "y1", "x2", "y2")
 
@@ -43,6 +44,11 @@ def violations(dets: DataFrame, amounts: DataFrame, config: Config = Config(), t
     return ledger.with_amount(first, amounts, config.default_amount).select("video_id", "frame_idx", "track_id", "violation", "plate", "amount", path.alias("image_path"))
 
 
+def record(found: DataFrame, path: str, amounts: DataFrame, now=None) -> None:
+    """Record violations, of a video or of images, in the ledger at path: one fine each."""
+    ledger_table.record(found.select("plate", "violation", "image_path"), path, amounts, now)
+
+
 def summary(dets: DataFrame, frames: DataFrame, amounts: DataFrame, config: Config = Config()) -> DataFrame:
     """For each video: frames, plates still tracked at its end, violations and their amounts."""
     frames, dets = detections.capped(frames, config.max_frames), detections.capped(dets, config.max_frames)

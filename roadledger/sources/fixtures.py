@@ -65,7 +65,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with the columns lane and readable besides the schema's."""
     joined = table(spark, sf_dir, "lineitem").join(frames(spark, sf_dir), on=[_col("l_orderkey") == _col("o_orderkey")])
     out = joined.selectExpr(*(f"{e} AS {n}" for n, e in DETECTIONS.items()))
-    return out.selectExpr("*", _TEXTS.format(empty="CAST(array() AS ARRAY<STRING>)", array="array") + " AS ocr_texts")
+    texts = _TEXTS.format(empty="CAST(array() AS ARRAY<STRING>)", array="array")
+    return out.selectExpr("*", f"{texts} AS ocr_texts", "CASE readable WHEN 0 THEN CAST(array() AS ARRAY<DOUBLE>) ELSE array(conf, 1 - conf) END AS ocr_confs")
 
 
 def _col(name: str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -10,7 +11,9 @@ from roadledger import schemas
 from roadledger.config import Config
 from roadledger.plans import catalog, video
 from roadledger.sources import dims, files
+from roadledger.sources import ledger as ledger_table
 from roadledger.streaming import frames as program
+from roadledger.streaming import progress
 
 
 def det(k, label, x, y=0, texts=("MH01AB1",), size=10):
@@ -102,3 +105,87 @@ def test_stream_restarts_where_it_ended(spark, tmp_path):
 def test_summary(spark, sf):
     row = catalog.run_summary(spark, sf).selectExpr("sum(violations) v", "sum(frames) f", "count(*) n").first()
     assert row["n"] == 25 and row["f"] == 1500 and row["v"] == catalog.video_violations(spark, sf).count()
+
+
+def test_a_stream_records_fines(spark, tmp_path):
+    """What the stream confirms is in the ledger as unpaid fines, beside appended ones; a callback can record instead."""
+    source, sink, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    rows = [(7, f, [tuple(d[k] for k in ("det_id", "label", "x1", "y1", "x2", "y2", "ocr_texts")) for d in scene()]) for f in range(1, 9)]
+    spark.createDataFrame(rows, schemas.FRAME_STREAM).coalesce(1).write.parquet(source)
+    ledger_table.create(spark, sink)
+    program.run_to_end(files.frame_stream(spark, source), sink, marks, Config())
+    ledger_table.record(spark.createDataFrame([("ka9", "overspeed", "x.jpg")], "plate string, violation string, image_path string"), sink, dims.amounts(spark))
+    out = ledger_table.read(spark, sink).orderBy("id").collect()
+    assert [(r["violation"], r["amount"], r["status"]) for r in out] == [("no_helmet", 500, "unpaid"), ("overspeed", 700, "unpaid")]
+    assert out[0]["image_path"].startswith("evidence/") and all(r["timestamp"] is not None for r in out)
+    told = []
+    program.run_to_end(files.frame_stream(spark, source), sink, str(tmp_path / "more"), Config(), lambda df, n: told.extend(r["violation"] for r in df.collect()))
+    assert told == ["no_helmet"] and ledger_table.read(spark, sink).count() == 2
+
+
+def test_a_job_goes_on_by_itself_and_its_state_can_be_polled(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(7, f, [tuple(d[k] for k in ("det_id", "label", "x1", "y1", "x2", "y2", "ocr_texts")) for d in scene()]) for f in range(1, 9)]
+    spark.createDataFrame(rows, schemas.FRAME_STREAM).coalesce(1).write.parquet(source)
+    table = progress.JobTable(spark, str(tmp_path / "jobs"))
+    listener = progress.Progress(table.report)
+    spark.streams.addListener(listener)
+
+    def fail(df, n):
+        raise ValueError("no ledger")
+
+    try:
+        good = program.start(files.frame_stream(spark, source), sink, str(tmp_path / "a"), Config())
+        bad = program.start(files.frame_stream(spark, source), sink, str(tmp_path / "b"), Config(), fail)
+        for job in (good, bad):
+            try:
+                job.awaitTermination(120)
+            except Exception as error:
+                assert "no ledger" in str(error)
+        for _ in range(120):
+            states = {r["job_id"]: r for r in table.states().collect()} if (tmp_path / "jobs").exists() else {}
+            if {r["status"] for r in states.values()} == {"done", "error"}:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(listener)
+    assert (states[str(good.id)]["status"], states[str(good.id)]["done"]) == ("done", 8)
+    assert states[str(bad.id)]["status"] == "error" and "no ledger" in states[str(bad.id)]["error"]
+
+
+def test_state_does_not_grow_with_tracks_that_ended():
+    """20,000 short tracks, one after the other, with reports and positions: what is kept is of the living ones."""
+    import pickle
+
+    state = program.FrameProgram(Config(streak=1, missed_frames=1, pixels_per_metre=4.0))
+    sizes, reports = [], 0
+    for k in range(20_000):
+        reports += len(state.step(3 * k + 1, scene()))
+        if k % 5000 == 10:
+            sizes.append(len(pickle.dumps(state)))
+    assert reports >= 20_000 and state.tracks.begun == 20_000
+    assert len(state.reported) <= 2 and len(state.position) == 1 and max(sizes) < min(sizes) + 64
+
+
+def test_the_command_line_text_of_a_stream():
+    plate = {"ocr_texts": ["x?", "ka-01é", "z"], "ocr_confs": [0.4, 0.41, 0.9]}
+    assert program.first_text(plate) == "KA01É" and program.joined_text(plate) == "XKA01Z"
+    assert program.first_text({"ocr_texts": ["a"], "ocr_confs": [0.2]}) is None and program.first_text({"ocr_texts": None, "ocr_confs": None}) is None
+
+
+def test_the_command_line_stream_equals_its_batch(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from roadledger.functions import geometry
+    from roadledger.sources import fixtures
+
+    dets = fixtures.detections(spark, sf)
+    packed = dets.groupBy("video_id", "frame_idx").agg(F.collect_list(F.struct("det_id", "label", *geometry.SIDES, "ocr_texts", "ocr_confs")).alias("detections"))
+    frames = fixtures.frames(spark, sf).select("video_id", "frame_idx").join(packed, ["video_id", "frame_idx"], "left")
+    source, sink, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    frames.withColumn("detections", F.coalesce("detections", F.array().cast(packed.schema["detections"].dataType))).repartition("video_id").write.parquet(source)
+    program.run_to_end(files.frame_stream(spark, source, 1000, schemas.READ_FRAME_STREAM), sink, marks, catalog.CALIBRATED, text=program.first_text)
+    pick = ["video_id", "frame_idx", "track_id", "violation", "plate", "amount"]
+    batch = catalog.cli_video_violations(spark, sf).select(pick).collect()
+    stream = spark.read.schema(schemas.VIOLATIONS).option("recursiveFileLookup", "true").parquet(sink).select(pick).collect()
+    assert batch and sorted(map(tuple, batch)) == sorted(map(tuple, stream))
