@@ -60,11 +60,12 @@ CUES = re.compile(r"token|key|secret|passw|pwd|auth|bearer|credential|ssn|social
 #: What precedes the value of a credential.
 ASSIGNED = r"""(?:passw(?:or)?[dt]|passphrase|passwd|passcode|kennwort|contrase\w+a|mot de passe|pwd|secret|token|key|auth|bearer|credential)\w{0,12}["']?\s{0,2}[:=]\s{0,2}["'`(<]?"""
 ASSIGNED_END = re.compile(f"(?:{ASSIGNED})$", re.I)
-#: A word that can be part of an entity; or the value of a credential.
-TELLING = re.compile(rf"(?<!\S)(?=\S*?(?:[\d@]|[\w+/=-]{{{LONG}}}|(?:[0-9A-Fa-f]{{0,4}}:){{3}}))\S+")
 VALUE = re.compile(rf"(?:{ASSIGNED})(?=\S)", re.I)
-#: The quick test of a whole text; RE2's \w is ASCII.
-WORTH = rf"(?i)[\p{{Nd}}@]|[\pL\p{{N}}_+/=-]{{{LONG}}}|(?:[0-9a-f]{{0,4}}:){{3}}|(?:pass|kennwort|contrase|pwd|secret|token|key|auth|bearer|credential)"
+#: Words that can be part of an entity hold one of these; RE2 patterns, the quick ones first.
+SIGN, ROW, GROUPS = r"[\p{Nd}@]", rf"[\pL\pN_+/=-]{{{LONG}}}", r"(?:[0-9A-Fa-f]{0,4}:){3}"
+#: A word that names a credential, and what all of them hold.
+NAMING = r"(?i)(?:passw(?:or)?[dt]|passphrase|passwd|passcode|kennwort|contrase[\pL\pN_]+a|passe|pwd|secret|token|key|auth|bearer|credential)[\pL\pN_]{0,12}[\"']?(?:[:=]|$)"
+NAMED = r"(?i)pass|kennwort|contrase|pwd|secret|token|key|auth|bearer|credential"
 #: Four capitals after the country and check digits of an account number.
 BANK = re.compile(r"(?<!\S)[A-Z]{2}\d\d ([A-Z]{4})(?= [A-Z0-9]{4}\b)")
 SPACE = re.compile(r"\s")
@@ -403,15 +404,41 @@ class Model:
         return chance, pairs
 
 
+def _flags(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word can be part of an entity, and whether it names a credential."""
+
+    def some(of: np.ndarray, pattern: str) -> np.ndarray:
+        at = np.flatnonzero(of)
+        out = np.zeros(len(words), bool)
+        out[at] = pc.match_substring_regex(words.take(pa.array(at)), pattern).to_numpy(zero_copy_only=False)
+        return out
+
+    telling = pc.match_substring_regex(words, SIGN).to_numpy(zero_copy_only=False)
+    telling = telling | some(~telling & (pc.utf8_length(words).to_numpy() >= LONG), ROW)
+    telling |= some(~telling & (pc.count_substring(words, ":").to_numpy() > 2), GROUPS)
+    return telling, some(pc.match_substring_regex(words, NAMED).to_numpy(zero_copy_only=False), NAMING)
+
+
 def runs(texts: pa.Array) -> Iterator[tuple[int, int, str, str]]:
     """(row, start, run, text before) of each run; start in characters."""
-    worth = pc.fill_null(pc.match_substring_regex(texts, WORTH), False)
-    for row in np.flatnonzero(worth.to_numpy(zero_copy_only=False)).tolist():
-        text = texts[row].as_py()
-        told, more = [m.span() for m in TELLING.finditer(text)], []
+    offsets, codes, words = base.split_words(texts)
+    if not len(codes):
+        return
+    telling, naming = (flags[codes] for flags in _flags(words))
+    row_of = np.searchsorted(offsets, np.flatnonzero(telling | naming), side="right") - 1
+    for row in np.unique(row_of).tolist():
+        text, told, more, at = texts[row].as_py(), [], [], 0
+        own = slice(offsets[row], offsets[row + 1])
+        for code in codes[own][telling[own]].tolist():
+            word = words[code].as_py()
+            at = text.index(word, at)
+            while at and not text[at - 1].isspace() or not text[at + len(word) : at + len(word) + 1].isspace() and at + len(word) < len(text):
+                at = text.index(word, at + 1)
+            told.append((at, at + len(word)))
+            at += len(word)
         starts = [a for a, _ in told]
         last = 0
-        for m in VALUE.finditer(text):
+        for m in VALUE.finditer(text) if naming[own].any() else ():
             at = m.end()
             k = bisect.bisect_right(starts, at) - 1
             if at < last or k >= 0 and at < told[k][1]:
@@ -422,7 +449,8 @@ def runs(texts: pa.Array) -> Iterator[tuple[int, int, str, str]]:
             b = SPACE.search(text, at)
             last = b.start() if b else len(text)
             more.append((a, last))
-        more += [m.span(1) for m in BANK.finditer(text)]
+        if told:
+            more += [m.span(1) for m in BANK.finditer(text)]
         told = sorted(told + more)
         k = 0
         while k < len(told):
