@@ -1,10 +1,11 @@
 """HTML extraction (3): consensus host paths.
 
 Each page is parsed once to score its containers: paragraphs give points to the container they
-are in and half to the one around it, links and names of page furniture take them away. The best
-containers vote for their generalised paths (tags and classes from the root, digits as #, no
-positions) with their share of the page's best score. Spark adds the votes up for each host, and
-every page is extracted again from the elements on its host's winning path.
+are in and half to the one around it, links and names of page furniture take them away. Every
+container with a score votes for its generalised path (tags and classes from the root, digits as #,
+no positions); a path has one vote of each page, the share of its best container in the page's best
+score, in millionths. Spark adds the votes up for each host, exactly, and every page is extracted
+again from the elements on its host's winning path.
 
 Defined cases: a page without an element on the winning path gives the text of its own best
 container (method own), one without any text '' (none); null html gives null text (none); urls
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 
 from roadledger.llm import base
 
-#: Containers of a page that vote.
-VOTES = 3
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+)>|<(/?)([a-zA-Z][\w:-]*)([^>]*+)>|<[!?][^>]*+>",
@@ -153,11 +152,14 @@ class Page:
         return found
 
 
-def votes(source: str) -> list[tuple[str, float, int]]:
-    """(path, share of the best score, 1 for the first place) of a page's best containers."""
+def votes(source: str) -> list[tuple[str, int, int]]:
+    """(path, share of the best score in millionths, 1 for the first place) of each path with a scored container."""
     page = Page(source)
-    best = [x for x in page.scores() if x[0] > 0][:VOTES]
-    return [(page.path(k), round(s / best[0][0], 6), int(n == 0)) for n, (s, k) in enumerate(best)]
+    best = [x for x in page.scores() if x[0] > 0]
+    found: dict[str, tuple[int, int]] = {}
+    for n, (s, k) in enumerate(best):  # from the best down
+        found.setdefault(page.path(k), (round(1_000_000 * s / best[0][0]), int(n == 0)))
+    return [(path, *vote) for path, vote in found.items()]
 
 
 def extract(source: str, path: str | None) -> tuple[str, str]:
@@ -176,7 +178,7 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in base.sized(batches, "html"):
         out = [(host, *vote) for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for vote in votes(source)]
         columns = list(zip(*out)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int32()))], ["host", "path", "share", "first"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int32()))], ["host", "path", "share", "first"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +190,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def winning_paths(pages: DataFrame) -> DataFrame:
     """(host, path) with the most votes of the host's pages. pages: host, html."""
-    counted = base.mapped(pages.where("host is not null and html is not null").select("host", "html"), _vote, "host string, path string, share double, first int")
-    sums = counted.groupBy("host", "path").agg(F.round(F.sum("share"), 4).alias("share"), F.sum("first").alias("first"))
+    counted = base.mapped(pages.where("host is not null and html is not null").select("host", "html"), _vote, "host string, path string, share bigint, first int")
+    sums = counted.groupBy("host", "path").agg(F.sum("share").alias("share"), F.sum("first").alias("first"))
     order = Window.partitionBy("host").orderBy(F.desc("share"), F.desc("first"), "path")
     return sums.withColumn("place", F.row_number().over(order)).where("place = 1").select("host", "path")
 

@@ -42,3 +42,19 @@ def test_votes_are_brute_force_sums(spark):
             s[1] += first
     want = {h: min(p, key=lambda x: (-round(p[x][0], 4), -p[x][1], x)) for h, p in sums.items()}
     assert dict(tuple(r) for r in htmltext.winning_paths(pages).collect()) == want
+
+
+def test_a_path_has_one_vote_of_a_page_and_all_containers_vote(spark):
+    """An article that comes fifth on some pages still adds its shares up, and many small boxes don't outvote it."""
+    line = "<p>A paragraph of text, long enough to be scored, and then some.</p>"
+    box = lambda name, n: f"<section class='around-{name}'><div class='{name}'>{line * n}</div></section>"
+    boxes = lambda names, n: "".join(box(x, n) for x in names)
+    a = f"<body>{box('piece', 6)}{boxes('pqrs', 1)}{boxes('z' * 9, 2)}</body>"
+    b = f"<body>{boxes('jklm', 4)}{box('piece', 3)}</body>"
+    c = f"<body>{boxes('tuvw', 4)}{box('piece', 3)}</body>"
+    rows = [(k, f"https://h.example/{k}", page) for k, page in enumerate((a, b, c))]
+    paths = {path: share for path, share, _ in htmltext.votes(a)}
+    assert paths["body>section.around-piece>div.piece"] == 1_000_000 and 0 < paths["body>section.around-z>div.z"] < 500_000
+    assert [p for p, _, _ in htmltext.votes(b)].index("body>section.around-piece>div.piece") == 4
+    out = htmltext.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["path"] for r in out} == {"body>section.around-piece>div.piece"}

@@ -106,3 +106,38 @@ def test_one_language_alone_can_reject():
     model = langid.train([("en", "the cat and the dog of this house were with them for the night\n" * 3)])
     d = langid.decide(model, pa.array(["the dog of the house", "qzx jvk wpf", FOREIGN["ru"]]), langid.LEAST)
     assert list(d["kept"]) == [True, False, False] and list(d["confidence"].round(6)) == [1, 1, 1]
+
+
+def test_the_query_against_plain_forward_backward(spark):
+    """Spans, confidence, fit and decision of every document, from messages passed one word at a time."""
+    docs = base.table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.train(langid.sample(docs))
+    rows = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for d in docs.collect():
+        words = d["text"].split()[:3000]
+        if len(d["text"].split()) > 3000 or not words:
+            continue
+        _, codes, distinct = base.split_words(pa.array([d["text"]]))
+        letters, has = langid.letters(distinct)
+        slots, word = base.grams(letters, langid.ORDERS, langid.BITS)
+        emit = langid.Model.potentials(model.scores(slots, word, model.entry(letters), has))[codes]
+        own = plain(emit, model.trans)
+        spans, names = [], [model.languages[k] for k in own.argmax(1)]
+        for k, name in enumerate(names):
+            if spans and spans[-1][2] == name:
+                spans[-1][1] = k + 1
+            else:
+                spans.append([k, k + 1, name])
+        spelled = has[codes]
+        sums = own[spelled].sum(0)
+        seen = {}
+        for w, name, use in zip(codes, names, spelled):
+            if use:
+                k = model.languages.index(name)
+                s, at = base.grams(letters.take(pa.array([w])), langid.FIT_ORDERS, langid.FIT_BITS)
+                seen.setdefault((w, k), model.seen[s, k].mean() if len(s) else 0.0)
+        fit = np.mean([seen[w, model.languages.index(name)] for w, name, use in zip(codes, names, spelled) if use]) if spelled.any() else 0.0
+        row = rows[d["doc_id"]]
+        assert [list(s) for s in row["spans"]] == spans and row["n_words"] == len(words)
+        assert abs(row["confidence"] - (sums.max() / spelled.sum() if spelled.any() else 0)) < 1e-6
+        assert row["kept"] == bool(spelled.any() and sums.max() / spelled.sum() >= langid.LEAST and fit >= langid.FIT)
