@@ -41,8 +41,10 @@ from roadledger.llm.pieces import ranges
 
 K, K1, B = 10, 1.2, 0.75
 BLOCK = 64
-#: Documents of a shard, and queries that are answered together.
-SHARD_DOCS, SCAN_QUERIES = 20_000, 5_000
+#: Documents of a shard at most, and postings after which it is full, so that long documents make smaller shards.
+SHARD_DOCS, SHARD_POSTINGS = 20_000, 4_000_000
+#: Queries that are answered together.
+SCAN_QUERIES = 5_000
 #: Postings that are walked before the pivot is looked for again: at first, and at most.
 AT_FIRST, TOGETHER = 50, 2000
 #: How far below the k-th best score a bound may be by the rounding of scores.
@@ -60,7 +62,7 @@ def _postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return np.diff(offsets), pair // size, pair % size, times, words
 
 
-def _index(batches: Iterator[pa.RecordBatch], shard_docs: int) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], shard_docs: int, shard_postings: int) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
     names = ["shard", "term", "n", "words", "docs", "times", "ids"]
     held: list[tuple] = []
@@ -94,7 +96,7 @@ def _index(batches: Iterator[pa.RecordBatch], shard_docs: int) -> Iterator[pa.Re
 
     for batch in base.sized(batches, "text"):
         held.append((batch.column(0).to_numpy(), *_postings(batch.column(1))))
-        if sum(len(h[0]) for h in held) >= shard_docs:
+        if sum(len(h[0]) for h in held) >= shard_docs or sum(len(h[2]) for h in held) >= shard_postings:
             yield from shard()
     if held:
         yield from shard()
@@ -229,10 +231,10 @@ def _search(batches: Iterator[pa.RecordBatch], idf: np.ndarray, average: float,
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["item_id", "doc_id", "score"])
 
 
-def build(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """The inverted index of all terms of docs, as a written table."""
+def build(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+    """The inverted index of all terms of docs, as a written table. Results don't depend on the shards' sizes."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    return base.stash(base.mapped(texts, lambda batches: _index(batches, shard_docs), INDEX), "index")
+    return base.stash(base.mapped(texts, lambda batches: _index(batches, shard_docs, shard_postings), INDEX), "index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, together: int = TOGETHER) -> DataFrame:

@@ -32,15 +32,15 @@ def brute(docs, queries, k):
     return out
 
 
-@pytest.mark.parametrize("shard, block, together", [(20_000, 64, 2000), (37, 4, 8), (200, 3, 1)])
-def test_against_brute_force(spark, shard, block, together):
+@pytest.mark.parametrize("shard, postings, block, together", [(20_000, 4_000_000, 64, 2000), (37, 4_000_000, 4, 8), (20_000, 900, 3, 1)])
+def test_against_brute_force(spark, shard, postings, block, together):
     rng = random.Random(block)
     vocabulary = [f"t{int(rng.paretovariate(0.6))}" for _ in range(4000)]
     docs = [(d, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(0, 60)))) for d in range(900)]
     docs += [(1000 + d, docs[d][1]) for d in range(40)]  # ties
     queries = [(q, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 9)))) for q in range(60)]
     table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    index = search.build(table, shard)
+    index = search.build(table, shard, postings)
     got = sorted(tuple(r) for r in search.search(index, spark.createDataFrame(queries, "item_id bigint, text string"), 7, block, together).collect())
     want = brute(docs, queries, 7)
     assert [x[:3] for x in got] == [x[:3] for x in want]
