@@ -54,6 +54,19 @@ streaks AS (SELECT video_id, track_id, violation, frame_idx, CAST(seen AS BIGINT
 _SPEED = """moved AS (SELECT video_id, frame_idx, lane, CAST(floor((x1 + x2) / 2.0e0) AS BIGINT) AS cx FROM lane_plates),
 was AS (SELECT *, lag(cx) OVER w AS last_cx, lag(frame_idx) OVER w AS last_frame FROM moved WINDOW w AS (PARTITION BY video_id, lane ORDER BY frame_idx)),
 speeds AS (SELECT video_id, frame_idx, lane, CASE WHEN last_frame IS NULL THEN 0 ELSE CAST(floor(abs(cx - last_cx) / 20.0e0 / ((frame_idx - last_frame) / 25.0e0) * 3.6e0) AS BIGINT) END AS speed_kmh FROM was)"""
+#: With one plate a lane and frame, plates move by 52 pixels at most and lanes are 300 apart: a lane is a track until it pauses for over 10 frames.
+_TRACKED = f"""plate_of AS (SELECT *, {_TEXT} AS plate FROM detections WHERE label = 'Plate' QUALIFY row_number() OVER (PARTITION BY video_id, frame_idx, lane ORDER BY det_id) = 1),
+pause AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY video_id, lane ORDER BY frame_idx) - 1 > 10 THEN 1 ELSE 0 END AS cut FROM plate_of),
+part AS (SELECT *, sum(cut) OVER (PARTITION BY video_id, lane ORDER BY frame_idx) AS part FROM pause),
+number AS (SELECT video_id, lane, part, CAST(row_number() OVER (PARTITION BY video_id ORDER BY min(frame_idx), arg_min(det_id, frame_idx)) - 1 AS BIGINT) AS track_id FROM part GROUP BY video_id, lane, part),
+tracked AS (SELECT * FROM part JOIN number USING (video_id, lane, part))"""
+_TRACK_NEAR = _NEAR.replace("p.lane AS near_lane", "p.track_id AS near_lane").replace("JOIN detections p ON p.label = 'Plate' AND", "JOIN tracked p ON").replace(", p.det_id) AS k", ", p.track_id) AS k")
+_TRACK_STREAK = """seen AS (SELECT video_id, track_id, violation, frame_idx, count(*) AS seen FROM (
+ SELECT video_id, near_lane AS track_id, CASE label WHEN 'WithoutHelmet' THEN 'no_helmet' ELSE 'triple_riding' END AS violation, frame_idx FROM near
+ UNION ALL SELECT video_id, track_id, 'overspeed', frame_idx FROM speeds WHERE speed_kmh > 40) GROUP BY ALL)""" + _STREAK[_STREAK.index(",\nisland AS") :]
+_TRACK_FINES = f"""{_TRACKED}, {_FREE}, {_TRACK_NEAR}, {_SPEED.replace("lane_plates", "tracked").replace("lane", "track_id")}, {_TRACK_STREAK},
+held AS (SELECT s.*, p.plate, row_number() OVER (PARTITION BY s.video_id, s.track_id, s.violation ORDER BY s.frame_idx) AS k FROM streaks s JOIN tracked p ON p.video_id = s.video_id AND p.frame_idx = s.frame_idx AND p.track_id = s.track_id WHERE streak >= 5 AND plate <> ''),
+told AS (SELECT video_id, frame_idx, track_id, violation, plate, {_AMOUNT} AS amount FROM held WHERE k = 1)"""
 _DECODE = rf"""WITH {_values(dims.state_rows(), "st", "code", "state")}, {_values(dims.district_rows(), "rt", "code", "district")},
 c AS (SELECT DISTINCT plate, CASE WHEN plate <> '' THEN upper(regexp_replace(plate, '[^A-Za-z0-9]', '', 'g')) END AS clean_plate, upper(regexp_replace(plate, '[^A-Za-z0-9]', '', 'g')) AS t FROM raw),
 m AS (SELECT *, coalesce(regexp_matches(t, '^[0-9]{{2}}BH[0-9]{{4}}[A-Z]{{1,2}}$'), false) AS bh, coalesce(regexp_matches(t, '^[A-Z]{{2}}[0-9]{{1,2}}[A-Z]{{1,3}}[0-9]{{1,4}}$'), false) AS std,
@@ -460,6 +473,31 @@ def evidence_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- tracking, videos and streams: no SQL can follow the greedy assignment ---
 
 
+def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections with one plate a lane and frame, on which SQL can follow the tracker."""
+    dets = _dets(spark, sf_dir)
+    first = dets.where("label = 'Plate'").groupBy("video_id", "frame_idx", "lane").agg(F.min("det_id").alias("det_id"))
+    return dets.where("label <> 'Plate'").unionByName(dets.join(first, ["video_id", "frame_idx", "lane", "det_id"], "left_semi"))
+
+
+@query(f"WITH {_TRACKED} SELECT video_id, frame_idx, track_id, det_id, plate FROM tracked")
+def centroid_tracker_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.tracks(_single(spark, sf_dir)).select("video_id", "frame_idx", "track_id", "det_id", "plate")
+
+
+@query(f"WITH {_TRACK_FINES} SELECT *, concat('evidence/', plate, '_', violation, '_', video_id, '_', frame_idx, '_', track_id, '.jpg') AS image_path FROM told")
+def video_violations_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.violations(storage.written(_single(spark, sf_dir), "single"), dims.amounts(spark), CALIBRATED)
+
+
+@query(f"""WITH {_TRACK_FINES}, ends AS (SELECT video_id, max(frame_idx) AS frames FROM frames GROUP BY video_id),
+alive AS (SELECT video_id, count(*) AS n FROM (SELECT video_id, track_id, max(frame_idx) AS last FROM tracked GROUP BY ALL) JOIN ends USING (video_id) WHERE frames - last <= 10 GROUP BY video_id),
+fined AS (SELECT video_id, count(*) AS n, CAST(sum(amount) AS BIGINT) AS amount FROM told GROUP BY video_id)
+SELECT video_id, frames, coalesce(alive.n, 0) AS plates_tracked, coalesce(fined.n, 0) AS violations, coalesce(fined.amount, 0) AS amount FROM ends LEFT JOIN alive USING (video_id) LEFT JOIN fined USING (video_id)""")
+def run_summary_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.summary(storage.written(_single(spark, sf_dir), "single"), fixtures.frames(spark, sf_dir), dims.amounts(spark), CALIBRATED)
+
+
 @query()
 def centroid_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.tracks(fixtures.detections(spark, sf_dir)).select("video_id", "frame_idx", "track_id", "det_id", "plate")
@@ -487,10 +525,8 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video.summary(_dets(spark, sf_dir), fixtures.frames(spark, sf_dir), dims.amounts(spark), CALIBRATED)
 
 
-@query()
-def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same frames through the stateful stream program and the ledger sink."""
-    dets = fixtures.detections(spark, sf_dir)
+def _streamed(spark: SparkSession, sf_dir: str, dets: DataFrame) -> str:
+    """The folder of fines that the stateful stream program recorded from the frames of dets."""
     one = F.struct("det_id", "label", *geometry.SIDES, "ocr_texts")
     packed = dets.groupBy("video_id", "frame_idx").agg(F.collect_list(one).alias("detections"))
     frames = fixtures.frames(spark, sf_dir).select("video_id", "frame_idx").join(packed, ["video_id", "frame_idx"], "left")
@@ -498,4 +534,53 @@ def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, sink, marks = (storage.new_path(spark, x) for x in ("frames", "reports", "marks"))
     whole.repartition("video_id").sortWithinPartitions("video_id", "frame_idx").write.parquet(source)
     frame_program.run_to_end(files.frame_stream(spark, source, 1000), sink, marks, CALIBRATED)
+    return sink
+
+
+@query()
+def stream_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames through the stateful stream program and the ledger sink."""
+    sink = _streamed(spark, sf_dir, fixtures.detections(spark, sf_dir))
     return spark.read.schema(schemas.VIOLATIONS).parquet(sink).select("video_id", "frame_idx", "track_id", "violation", "plate", "amount")
+
+
+@query(f"WITH {_TRACK_FINES} SELECT plate, violation, amount, concat('/evidence/', plate, '_', violation, '_', video_id, '_', frame_idx, '_', track_id, '.jpg') AS image, 'unpaid' AS status FROM told")
+def stream_fines_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stream recorded in the ledger, as a lookup shows it."""
+    return ledger.api_view(ledger_table.read(spark, _streamed(spark, sf_dir, _single(spark, sf_dir)))).drop("id", "time")
+
+
+@query("SELECT id, plate, violation, amount, image_path, status, timestamp FROM fines WHERE id % 3 = 0")
+def ledger_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows added with their own ids, times and states."""
+    path = storage.new_path(spark, "ledger")
+    ledger_table.create(spark, path)
+    ledger_table.append(fixtures.fines(spark, sf_dir).where("id % 3 = 0"), path)
+    return ledger_table.read(spark, path)
+
+
+@query("SELECT id, plate, violation, amount, image_path, status, timestamp FROM fines WHERE id % 7 = 0")
+def ledger_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger whose rows were all replaced."""
+    path = storage.new_path(spark, "ledger")
+    fines = fixtures.fines(spark, sf_dir)
+    ledger_table.create(spark, path)
+    ledger_table.append(fines.where("id % 2 = 0"), path)
+    ledger_table.replace(fines.where("id % 7 = 0"), path)
+    return ledger_table.read(spark, path)
+
+
+@query(f"WITH {_LANES}, {_SPEED} SELECT true AS calibrated, count(*) AS n FROM speeds WHERE speed_kmh > 40 UNION ALL SELECT false, 0")
+def calibration_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a calibration there are no speeds to exceed."""
+    lanes = _lane_plates(fixtures.detections(spark, sf_dir)).withColumn("track_id", F.col("lane"))
+    rows = [video.overspeeds(lanes, config).agg(F.lit(config.calibrated()).alias("calibrated"), F.count("*").alias("n")) for config in (CALIBRATED, Config())]
+    return rows[0].unionAll(rows[1])
+
+
+@query("SELECT count(*) AS n, count(*) AS different, count(*) AS well_formed FROM fines")
+def job_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random ids of jobs: none twice."""
+    ids = storage.written(fixtures.fines(spark, sf_dir).select(names.job_id().alias("job_id")), "jobs")
+    shape = F.col("job_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$")
+    return ids.agg(F.count("*").alias("n"), F.count_distinct("job_id").alias("different"), F.count_if(shape).alias("well_formed"))

@@ -20,11 +20,18 @@ def tracks(dets: DataFrame, config: Config = Config(), text: Column | None = Non
     return tracking.track(boxes, config)
 
 
+def overspeeds(tracked: DataFrame, config: Config = Config()) -> DataFrame:
+    """Sightings of tracks that are too fast; none without a calibration."""
+    if not config.calibrated():
+        return tracked.where(F.lit(False)).withColumn("speed_kmh", F.lit(0).cast("bigint"))
+    return confirm.speeds(tracked, "track_id", config).where(F.col("speed_kmh") > config.speed_limit)
+
+
 def sightings(dets: DataFrame, tracked: DataFrame, config: Config = Config()) -> DataFrame:
     """(video_id, frame_idx, track_id, violation), one row for each box that counts."""
     kinds = []
     if config.calibrated():
-        kinds.append(("overspeed", confirm.speeds(tracked, "track_id", config).where(F.col("speed_kmh") > config.speed_limit)))
+        kinds.append(("overspeed", overspeeds(tracked, config)))
     label = detections.video_class(F.col("label"))
     without = detections.uncontradicted(dets.where(label == "WithoutHelmet"), dets.where(label == "WithHelmet"), config.contradiction_iou)
     for name, boxes in (("no_helmet", without), ("triple_riding", dets.where(label == "TripleRiding"))):
