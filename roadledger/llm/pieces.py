@@ -2,10 +2,12 @@
 
 In the vocabularies this is for, no piece goes on from another character to a white-space mark,
 so a text's segmentation is that of its marked words in a row (checked when the model is loaded).
-Each task segments every distinct marked word of a batch once and joins the ids back by position.
-A table for the whole corpus would need all words shuffled twice, many times the text itself.
+Each worker keeps a table of the distinct marked words that it has met, of up to `TABLE_WORDS` words
+(a full table is begun anew; results don't depend on it): a word that is in it isn't segmented again,
+and the ids are joined back by position. A table for the whole corpus would need every task's distinct
+words shuffled twice; README has the figures.
 
-Defined cases: a null text gives null ids and n_tokens; an empty text gives no ids; decoding null
+Defined cases: a null text gives null ids, n_tokens and exact; an empty text gives no ids; decoding null
 gives null, an id outside the vocabulary gives what the unknown piece gives, bytes that are not
 UTF-8 give U+FFFD; equal rows give equal results; an empty table gives an empty one. The result
 columns replace columns of docs that have their names; all others are passed on.
@@ -29,6 +31,8 @@ from roadledger.llm import base
 #: Where the public tokenizer's file is on every machine; a parameter of all functions.
 MODEL = os.environ.get("ROADLEDGER_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
 MARK = "▁"
+#: Words of a worker's table.
+TABLE_WORDS = 200_000
 _loaded: dict[str, "Pieces"] = {}
 
 
@@ -66,6 +70,13 @@ class Pieces:
         self.surface_len = np.array([len(s) for s in surface])
         self.surface_at = np.cumsum(self.surface_len) - self.surface_len
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
+        self.segmented = 0
+        self._begin()
+
+    def _begin(self) -> None:
+        """An empty table: each word's number, and its ids in one array for all."""
+        self.number = {"": 0}
+        self.ids, self.ends = np.array([self.blank], np.int32), np.array([0, 1])
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Marked words of each text without their first mark: (offsets, codes, distinct)."""
@@ -85,12 +96,18 @@ class Pieces:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of all texts; a null text has none."""
         offsets, codes, words = self.words(texts)
-        made = [ids if w else [self.blank] for w, ids in zip(words, self.sp.encode(words, num_threads=1))]
+        if len(self.number) > TABLE_WORDS:
+            self._begin()
+        new = [w for w in words if w not in self.number]
+        made = self.sp.encode(new, num_threads=1)
+        self.segmented += len(new)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         sizes = np.fromiter(map(len, made), np.int64, len(made))
-        flat = np.fromiter((i for ids in made for i in ids), np.int32, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[codes]
-        return np.concatenate([[0], np.cumsum(lengths)])[offsets], flat[ranges(starts[codes], lengths)]
+        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in made for i in ids), np.int32, int(sizes.sum()))])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        at = np.fromiter((self.number[w] for w in words), np.int64, len(words))[codes]
+        lengths = self.ends[at + 1] - self.ends[at]
+        return np.concatenate([[0], np.cumsum(lengths)])[offsets], self.ids[ranges(self.ends[at], lengths)]
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[str]:
         """The text of each run of ids."""
@@ -118,9 +135,10 @@ def _plain(docs: DataFrame, *taken: str) -> DataFrame:
     return docs.drop(*taken).select(*(F.col(f"`{c}`") for c in docs.columns if c not in taken))
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs with `ids` and `n_tokens` of `text`."""
-    docs = _plain(docs, "ids", "n_tokens")
+def encode(docs: DataFrame, model: str = MODEL, check: bool = False) -> DataFrame:
+    """docs with `ids` and `n_tokens` of `text`; with check also `exact`, whether decoding gives the text back."""
+    added = ["ids", "n_tokens", *(["exact"] if check else [])]
+    docs = _plain(docs, *added)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +147,11 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
             offsets, ids = pieces.encode(batch.column(place))
             null = batch.column(place).is_null().to_numpy(zero_copy_only=False)
             counts = pa.array(np.diff(offsets), pa.int32(), mask=null)
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(offsets, ids, null), counts], [*batch.schema.names, "ids", "n_tokens"])
+            exact = [pc.equal(pa.array(pieces.decode(offsets, ids), pa.string()), batch.column(place))] if check else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(offsets, ids, null), counts, *exact], [*batch.schema.names, *added])
 
-    return base.mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]))
+    kinds = (T.ArrayType(T.IntegerType()), T.IntegerType(), T.BooleanType())
+    return base.mapped(docs, run, T.StructType([*docs.schema.fields, *(T.StructField(name, kind) for name, kind in zip(added, kinds))]))
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:

@@ -46,3 +46,20 @@ def test_decoding_anything(spark, model):
     out = {r["k"]: r["decoded"] for r in pieces.decode(spark.createDataFrame(rows, "k int, ids array<int>")).collect()}
     assert out[2] is None and out[3] == "" and out[5] == model.sp.decode([1, 264, 2]) == "a" and "⁇" in out[4] and "⁇" in out[6]
     assert "�" in pieces.load(pieces.MODEL).decode(np.array([0, 1]), np.array([3 + 0xFF]))[0]
+
+
+def test_a_word_is_segmented_once(monkeypatch):
+    monkeypatch.setattr(pieces, "TABLE_WORDS", 40)
+    model = pieces.Pieces(pieces.MODEL)
+    texts = ["a house and a garden", "a garden and a house", "the house"] * 5
+    for _ in range(3):
+        check(model, texts)
+    assert model.segmented == 5
+    check(model, [" ".join(f"w{k}" for k in range(50))])
+    check(model, texts)  # a full table is begun anew
+    assert model.segmented == 60
+
+
+def test_encoding_with_a_check(spark):
+    rows = pieces.encode(spark.createDataFrame([(1, "a b"), (2, None), (3, "x ▁ y"), (4, "")], "k int, text string"), check=True).collect()
+    assert {r["k"]: r["exact"] for r in rows} == {1: True, 2: None, 3: False, 4: True}

@@ -85,7 +85,7 @@ def steps(spark, pii_model):
     after.append(clean(after[-1], items))
     after.append(redacted(after[-1], pii_model))
     sp = pieces.load(pieces.MODEL).sp
-    after.append([{**d, "ids": sp.encode(d["text"]), "n_tokens": len(sp.encode(d["text"]))} for d in after[-1]])
+    after.append([{**d, "ids": sp.encode(d["text"]), "n_tokens": len(sp.encode(d["text"])), "exact": sp.decode(sp.encode(d["text"])) == d["text"]} for d in after[-1]])
     return after
 
 
