@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from roadledger.llm import base
 
+#: Keys that a task looks up: at least, to use the machines there are, and at most.
+LEAST_KEYS, MOST_KEYS = 500, 50_000
 #: Index lines of a block.
 BLOCK_LINES = 1000
 LEVEL = 3
@@ -227,7 +229,9 @@ def lookup(keys: DataFrame, directory: str) -> DataFrame:
             index.close()
 
     asked = keys.where("key is not null").select("key").distinct()
-    return base.mapped(asked.repartitionByRange("key").sortWithinPartitions("key"), run, "key string, page_id bigint, digest string, n_bytes bigint, sound boolean")
+    many = asked.count()  # tasks by the reads they make: the keys alone are too few bytes to tell
+    parts = max(1, -(-many // MOST_KEYS), min(-(-many // LEAST_KEYS), 4 * keys.sparkSession.sparkContext.defaultParallelism))
+    return base.mapped(asked.repartitionByRange(parts, "key").sortWithinPartitions("key"), run, "key string, page_id bigint, digest string, n_bytes bigint, sound boolean")
 
 
 def _found(rows: list[tuple]) -> pa.RecordBatch:
