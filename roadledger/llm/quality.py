@@ -45,7 +45,9 @@ def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.vectors = rng.uniform(-0.1, 0.1, (1 << BITS, SIZE)).astype(np.float32)
+        self.vectors = rng.random((1 << BITS, SIZE), np.float32)  # no copy of twice the size on the way
+        self.vectors -= np.float32(0.5)
+        self.vectors *= np.float32(0.2)
         self.output = np.zeros((SIZE, 2), np.float64)  # log odds of each head; a softmax of two classes
         self.bias = np.zeros(2)
         self.table: np.ndarray | None = np.zeros((1 << BITS, 2), np.float32)
@@ -96,7 +98,7 @@ class Model:
         untouched = np.ones(len(seen), bool)
         for slot, _ in bags:
             untouched[slot] = False
-        self.table = (SCALE * self.vectors @ self.output).astype(np.float32)
+        self.table = self.vectors @ (SCALE * self.output).astype(np.float32)
         self.table[untouched] = 0
         self.vectors = np.empty((0, SIZE), np.float32)  # only the product goes to the executors
 
