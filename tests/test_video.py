@@ -189,3 +189,65 @@ def test_the_command_line_stream_equals_its_batch(spark, sf, tmp_path):
     batch = catalog.cli_video_violations(spark, sf).select(pick).collect()
     stream = spark.read.schema(schemas.VIOLATIONS).option("recursiveFileLookup", "true").parquet(sink).select(pick).collect()
     assert batch and sorted(map(tuple, batch)) == sorted(map(tuple, stream))
+
+
+def test_a_micro_batch_is_held_in_blocks():
+    """Any number of parts in any order, repeated frames too: each frame once, in order, with few rows in memory."""
+    rng = random.Random(3)
+    numbers = [*range(1, 3000), *range(500, 600)]
+    rng.shuffle(numbers)
+    rows = program.Runs(block=4, most=3)
+    for k in range(0, len(numbers), 50):
+        rows.add([(n, str(n)) for n in numbers[k : k + 50]])
+    assert len(rows.levels) > 2 and all(len(runs) <= 3 for _, runs in rows.levels)
+    assert list(rows) == [(n, str(n)) for n in range(1, 3000)]
+    tidy = program.Runs()
+    for k in range(0, 1000, 100):
+        tidy.add([(n, "") for n in range(k, k + 100)])
+    assert [len(runs) for _, runs in tidy.levels] == [1] and [n for n, _ in tidy] == list(range(1000))
+
+
+def test_memory_of_a_stream_does_not_grow_with_its_micro_batch():
+    import json
+    import tracemalloc
+
+    import pandas as pd
+
+    class State:
+        exists = False
+
+        def update(self, value):
+            pass
+
+    class Frames:
+        """Stands in for the stream; gives the function that Spark would call."""
+
+        def select(self, *_):
+            return self
+
+        groupBy = select
+
+        def applyInPandasWithState(self, fn, *_):
+            return fn
+
+    update = program.detect(Frames(), Config(streak=1, missed_frames=1))
+    text, peaks = json.dumps(scene()), []
+    for parts in (program.RUNS, 4 * program.RUNS):
+        made = (pd.DataFrame({"frame_idx": range(k * 100 + 1, k * 100 + 101), "detections": [text + " " * n for n in range(100)]}) for k in reversed(range(parts)))
+        tracemalloc.start()
+        found = sum(len(x) for x in update((7,), made, State()))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert found == 1
+    assert peaks[1] < 1.5 * peaks[0]
+
+
+def test_odd_numbers_in_a_frame(spark, tmp_path):
+    """Confidences that are no number, null texts and a null list of detections pass through the stream."""
+    source, sink, marks = (str(tmp_path / x) for x in ("in", "out", "marks"))
+    plate = (1, "Plate", 0, 0, 10, 10, [None, "ka\"1", "x"], [float("nan"), float("inf"), 0.1])
+    bare = (2, "WithoutHelmet", 0, 30, 10, 40, [], [])
+    spark.createDataFrame([(7, f, [bare, plate]) for f in range(1, 7)] + [(7, 7, None)], schemas.READ_FRAME_STREAM).write.parquet(source)
+    program.run_to_end(files.frame_stream(spark, source, 1000, schemas.READ_FRAME_STREAM), sink, marks, Config(), text=program.first_text)
+    out = spark.read.schema(schemas.VIOLATIONS).option("recursiveFileLookup", "true").parquet(sink).collect()
+    assert [(r["frame_idx"], r["plate"]) for r in out] == [(5, "KA1")]
