@@ -23,9 +23,10 @@ def speeds(sightings: DataFrame, key: str, config: Config) -> DataFrame:
 def streaks(sightings: DataFrame, *key: str) -> DataFrame:
     """Running count of sightings over frames in a row, for (video_id, *key).
 
-    Every box counts, so two boxes in a frame add two; a frame without one begins anew.
+    Every box counts, so two boxes in a frame add two; a frame without one begins anew. One shuffle
+    serves the count and the windows.
     """
-    by_frame = sightings.groupBy("video_id", *key, "frame_idx").agg(F.count("*").alias("seen"))
+    by_frame = sightings.repartition("video_id", *key).groupBy("video_id", *key, "frame_idx").agg(F.count("*").alias("seen"))
     order = Window.partitionBy("video_id", *key).orderBy("frame_idx")
     islands = by_frame.withColumn("island", F.col("frame_idx") - F.row_number().over(order))
     inside = Window.partitionBy("video_id", *key, "island").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)

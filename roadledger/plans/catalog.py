@@ -17,6 +17,8 @@ from roadledger.streaming import frames as frame_program
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 CALIBRATED = Config(pixels_per_metre=20.0)
+#: The columns of detections that the plans of videos read.
+VIDEO = ("video_id", "frame_idx", "det_id", "label", *geometry.SIDES, "ocr_texts")
 
 
 def query(sql: str | None = None):
@@ -104,16 +106,17 @@ def _near(dets: DataFrame) -> DataFrame:
 
 
 def _lane_streaks(dets: DataFrame) -> DataFrame:
-    lane = dets.select("video_id", "frame_idx", F.col("det_id").alias("near_id"), F.col("lane").alias("track_id"))
+    plates_of = dets.where("label = 'Plate'").withColumn("track_id", F.col("lane"))
     kind = F.when(F.col("label") == "WithoutHelmet", "no_helmet").otherwise("triple_riding")
-    seen = _near(dets).join(lane, ["video_id", "frame_idx", "near_id"]).withColumn("violation", kind)
+    seen = detections.attributed(dets, plates_of, "det_id", "track_id").withColumn("violation", kind)
     return confirm.streaks(seen, "track_id", "violation")
 
 
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each frame as an image of its own."""
+def _images(spark: SparkSession, sf_dir: str, dets: DataFrame | None = None) -> DataFrame:
+    """Each frame as an image of its own. dets: the table of detections, if there is one already."""
+    dets = _dets(spark, sf_dir) if dets is None else dets
     label = F.when((F.col("label") == "Helmet?") & (F.col("det_id") % 2 == 0), "WithHelmet").otherwise(F.col("label"))
-    return detections.image_summary(_dets(spark, sf_dir).withColumn("label", label), fixtures.frames(spark, sf_dir))
+    return detections.image_summary(dets.withColumn("label", label), fixtures.frames(spark, sf_dir))
 
 
 def _dets(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -355,7 +358,11 @@ s AS (SELECT f.video_id, f.frame_idx, {_TEXT} AS plate, unnest(list_value(CASE W
 SELECT video_id, frame_idx, plate, violation, {_AMOUNT} AS amount, concat('evidence/', plate, '_', violation, '_', video_id, '_', frame_idx, '_', 0, '.jpg') AS image_path FROM s WHERE violation IS NOT NULL AND plate <> ''""")
 def image_fines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fines of single images: none without a readable plate."""
-    fined = ledger.with_amount(detections.image_fines(_images(spark, sf_dir)), dims.amounts(spark))
+    return _image_fines(spark, sf_dir)
+
+
+def _image_fines(spark: SparkSession, sf_dir: str, dets: DataFrame | None = None) -> DataFrame:
+    fined = ledger.with_amount(detections.image_fines(_images(spark, sf_dir, dets)), dims.amounts(spark))
     path = names.evidence_path(F.col("plate"), F.col("violation"), F.col("video_id"), F.col("frame_idx"), F.lit(0))
     return fined.select("video_id", "frame_idx", "plate", "violation", "amount", path.alias("image_path"))
 
@@ -373,11 +380,11 @@ def record_fines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, now = storage.new_path(spark, "ledger"), datetime.datetime(2024, 1, 2, 3, 4, 5)
     ledger_table.create(spark, path)
     amounts = dims.amounts(spark)
-    dets = _dets(spark, sf_dir)
+    dets = _dets(spark, sf_dir, *VIDEO, "lane", "conf")
     texts = _lane_plates(dets).select("video_id", "frame_idx", F.col("lane").alias("track_id"), "plate")
     held = _lane_streaks(dets).where(F.col("streak") >= Config.streak).join(texts, ["video_id", "frame_idx", "track_id"])
     evidence = names.evidence_path(*(F.col(c) for c in ("plate", "violation", "video_id", "frame_idx", "track_id")))
-    for found in (image_fines(spark, sf_dir), confirm.first_reports(held, "track_id", "violation").withColumn("image_path", evidence)):
+    for found in (_image_fines(spark, sf_dir, dets), confirm.first_reports(held, "track_id", "violation").withColumn("image_path", evidence)):
         video.record(found, path, amounts, now)
     fines = ledger_table.read(spark, path)
     once = fines.groupBy("id").agg((F.count("*") == 1).alias("own_id"))
@@ -475,7 +482,7 @@ def evidence_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections with one plate a lane and frame, on which SQL can follow the tracker."""
-    dets = _dets(spark, sf_dir)
+    dets = _dets(spark, sf_dir, *VIDEO, "lane")
     first = dets.where("label = 'Plate'").groupBy("video_id", "frame_idx", "lane").agg(F.min("det_id").alias("det_id"))
     return dets.where("label <> 'Plate'").unionByName(dets.join(first, ["video_id", "frame_idx", "lane", "det_id"], "left_semi"))
 
@@ -500,12 +507,12 @@ def run_summary_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def centroid_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return video.tracks(fixtures.detections(spark, sf_dir)).select("video_id", "frame_idx", "track_id", "det_id", "plate")
+    return video.tracks(_dets(spark, sf_dir, *VIDEO)).select("video_id", "frame_idx", "track_id", "det_id", "plate")
 
 
 @query()
 def video_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dets = _dets(spark, sf_dir)
+    dets = _dets(spark, sf_dir, *VIDEO)
     tracked = storage.written(video.tracks(dets, CALIBRATED), "tracks")
     return video.violations(dets, dims.amounts(spark), CALIBRATED, tracked)
 
@@ -513,7 +520,7 @@ def video_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cli_video_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the plate text of the other front end: the first fragment read with confidence, letters and digits of any script."""
-    dets = _dets(spark, sf_dir)
+    dets = _dets(spark, sf_dir, *VIDEO, "ocr_confs")
     sure = F.filter(F.arrays_zip("ocr_texts", "ocr_confs"), lambda f: f["ocr_confs"] > Config.ocr_confidence)
     text = plates.cleaned_unicode(F.get(sure, F.lit(0))["ocr_texts"])
     tracked = storage.written(video.tracks(dets, CALIBRATED, text), "tracks")
@@ -522,7 +529,7 @@ def cli_video_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return video.summary(_dets(spark, sf_dir), fixtures.frames(spark, sf_dir), dims.amounts(spark), CALIBRATED)
+    return video.summary(_dets(spark, sf_dir, *VIDEO), fixtures.frames(spark, sf_dir), dims.amounts(spark), CALIBRATED)
 
 
 def _streamed(spark: SparkSession, sf_dir: str, dets: DataFrame) -> str:

@@ -62,9 +62,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detections with the columns lane and readable besides the schema's."""
+    """Detections with the columns lane and readable besides the schema's.
+
+    A frame is of one order, so numbering inside the order and frame is numbering inside the frame, and
+    needs no other shuffle than the join's.
+    """
     joined = table(spark, sf_dir, "lineitem").join(frames(spark, sf_dir), on=[_col("l_orderkey") == _col("o_orderkey")])
-    out = joined.selectExpr(*(f"{e} AS {n}" for n, e in DETECTIONS.items()))
+    inside = {"det_id": DETECTIONS["det_id"].replace("PARTITION BY video_id", "PARTITION BY l_orderkey, video_id")}
+    out = joined.selectExpr(*(f"{e} AS {n}" for n, e in (DETECTIONS | inside).items()))
     texts = _TEXTS.format(empty="CAST(array() AS ARRAY<STRING>)", array="array")
     return out.selectExpr("*", f"{texts} AS ocr_texts", "CASE readable WHEN 0 THEN CAST(array() AS ARRAY<DOUBLE>) ELSE array(conf, 1 - conf) END AS ocr_confs")
 
