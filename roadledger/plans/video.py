@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadledger import storage
 from roadledger.config import Config
 from roadledger.functions import names, plates
 from roadledger.operators import confirm, detections, ledger, tracking
@@ -32,18 +33,16 @@ def sightings(dets: DataFrame, tracked: DataFrame, config: Config = Config()) ->
     kinds = []
     if config.calibrated():
         kinds.append(("overspeed", overspeeds(tracked, config)))
-    label = detections.video_class(F.col("label"))
-    without = detections.uncontradicted(dets.where(label == "WithoutHelmet"), dets.where(label == "WithHelmet"), config.contradiction_iou)
-    for name, boxes in (("no_helmet", without), ("triple_riding", dets.where(label == "TripleRiding"))):
-        near = detections.nearest(boxes.select("video_id", "frame_idx", "det_id", *SIDES), tracked, "track_id")
-        kinds.append((name, near.withColumnRenamed("near_id", "track_id")))
-    return confirm.united(*kinds)
+    near = detections.attributed(dets, tracked, "track_id", threshold=config.contradiction_iou)
+    name = F.when(F.col("label") == "WithoutHelmet", "no_helmet").otherwise("triple_riding")
+    seen = near.select("video_id", "frame_idx", F.col("near_id").alias("track_id"), name.alias("violation"))
+    return seen.unionByName(confirm.united(*kinds)) if kinds else seen
 
 
 def violations(dets: DataFrame, amounts: DataFrame, config: Config = Config(), tracked: DataFrame | None = None) -> DataFrame:
     """(video_id, frame_idx, track_id, violation, plate, amount, image_path): each confirmed violation once."""
     dets = detections.capped(dets, config.max_frames)
-    tracked = tracks(dets, config) if tracked is None else tracked
+    tracked = storage.written(tracks(dets, config), "tracks") if tracked is None else tracked
     streak = confirm.streaks(sightings(dets, tracked, config), "track_id", "violation").where(F.col("streak") >= config.streak)
     texts = tracked.select("video_id", "frame_idx", "track_id", "plate")
     first = confirm.first_reports(streak.join(texts, ["video_id", "frame_idx", "track_id"]), "track_id", "violation")
@@ -59,7 +58,7 @@ def record(found: DataFrame, path: str, amounts: DataFrame, now=None) -> None:
 def summary(dets: DataFrame, frames: DataFrame, amounts: DataFrame, config: Config = Config()) -> DataFrame:
     """For each video: frames, plates still tracked at its end, violations and their amounts."""
     frames, dets = detections.capped(frames, config.max_frames), detections.capped(dets, config.max_frames)
-    tracked = tracks(dets, config)
+    tracked = storage.written(tracks(dets, config), "tracks")
     ends = tracking.still_tracked(tracked, frames, config)
     found = violations(dets, amounts, config, tracked).groupBy("video_id").agg(F.count("*").alias("violations"), F.sum("amount").alias("amount"))
     return ends.join(found, "video_id", "left").na.fill(0, ["violations", "amount"])
